@@ -136,13 +136,14 @@ def tokenize_words(text: Column) -> Column:
 def ngrams(tokens: Column, longest: int = 1, shortest: int = 1) -> Column:
     """All runs of ``shortest`` to ``longest`` neighbouring tokens, joined by a space."""
     runs = []
-    for n in range(shortest, longest + 1):
-        if n == 1:
-            runs.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)))
-        starts = F.coalesce(starts, F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+    grams = tokens
+    for n in range(1, longest + 1):
+        if n > 1:
+            # lengthen each run by the token behind it; the lambda sees elements only, so the cost is linear
+            k = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
+            grams = F.zip_with(F.slice(grams, 1, k), F.slice(tokens, n, k), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= shortest:
+            runs.append(grams)
     return runs[0] if len(runs) == 1 else F.concat(*runs)
 
 

@@ -83,7 +83,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Each file split counts its lines; the number of a line is the lines of earlier splits plus its
     place in its own. Nothing is sorted and no task sees all lines.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.text(path, lineSep="\n").select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
