@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from catalog import texts  # noqa: F401
+from catalog import cases, texts, trees  # noqa: F401
 from catalog.views import QUERIES, SQL  # noqa: F401

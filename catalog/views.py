@@ -23,13 +23,14 @@ VIEWS: dict[str, str] = {}
 def with_views(body: str) -> str:
     """Prefix ``body`` with the definitions of all views it uses, directly or not."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\bfx_\w+", text):
-            if name in VIEWS and name not in needed:
+            if name in VIEWS and name not in seen:
+                seen.add(name)
                 visit(VIEWS[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(body)
     recursive = "RECURSIVE " if any("RECURSIVE" in VIEWS[n] for n in needed) else ""

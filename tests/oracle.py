@@ -64,8 +64,12 @@ if __name__ == "__main__":
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle = connect(sf_dir), registered.oracle_sql()
+    skip = {n[1:] for n in names if n.startswith("-")}
+    names = [n for n in names if not n.startswith("-")]
     for name, run in registered.queries().items():
-        if names and not any(n in name for n in names):
+        if run.__module__.split(".")[-1] in skip:
+            continue
+        if names and not any(n in name or n == run.__module__.split(".")[-1] for n in names):
             continue
         start = time.time()
         try:
