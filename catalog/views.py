@@ -45,12 +45,12 @@ def with_views(body: str) -> str:
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function name, with its SQL if there is one."""
+    """Register a query under its function name, with its SQL (views not yet expanded) if there is one."""
 
     def register(fn: Query) -> Query:
         QUERIES[fn.__name__] = fn
         if sql is not None:
-            SQL[fn.__name__] = with_views(sql)
+            SQL[fn.__name__] = sql
         return fn
 
     return register

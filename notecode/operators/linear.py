@@ -200,6 +200,10 @@ def train_linear(
     return weights.unionByName(train_distributed(x, rows, fit))
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(n).alias(n) for n in df.columns])
+
+
 def _train_blocks(x: DataFrame, y: DataFrame, c: DataFrame, active: DataFrame, sizes: DataFrame, fit: Fit) -> DataFrame:
     block_x = salted_join(x, active, ["row_id"]).select("code", "row_id", "col_id", "val")
     labelled = c.select("label_id", "code").join(sizes.select("code"), "code", "left_semi")
@@ -208,7 +212,10 @@ def _train_blocks(x: DataFrame, y: DataFrame, c: DataFrame, active: DataFrame, s
     true = salted_join(y.select("row_id", "label_id").distinct(), labelled, ["label_id"])
     true = true.join(active, ["row_id", "code"], "left_semi").select("code", "label_id", "row_id")
     schema = f"label_id {c.schema['label_id'].dataType.simpleString()}, col_id {x.schema['col_id'].dataType.simpleString()}, val double"
-    pairs = block_x.groupBy("code").cogroup(listed.unionByName(true).groupBy("code"))
+    targets = listed.unionByName(true)
+    # both sides come from the same tables: fresh column names keep their keys apart
+    block_x, targets = _renewed(block_x), _renewed(targets)
+    pairs = block_x.groupBy("code").cogroup(targets.groupBy("code"))
     return pairs.applyInPandas(_fit_cluster(fit), schema)
 
 
@@ -475,6 +482,7 @@ def score_blocks(x: DataFrame, w: DataFrame, c: DataFrame, z: DataFrame, block_e
     spread = spread.select("code", "block", "label_id", "col_id", "val")
     kinds = {n: d.schema[n].dataType.simpleString() for n, d in (("row_id", z), ("label_id", c), ("code", z))}
     schema = f"row_id {kinds['row_id']}, label_id {kinds['label_id']}, code {kinds['code']}, parent_score double, score double"
+    features, spread = _renewed(features), _renewed(spread)
     pairs = features.groupBy("code", "block").cogroup(spread.groupBy("code", "block"))
     return pairs.applyInPandas(_score_block, schema)
 
