@@ -104,14 +104,14 @@ def _leaf_sizes(codes):
 
 @query(HALVES_SQL)
 def balanced_2means_sizes(spark, d):
-    codes = I.balanced_2means(_embedded(spark, d), v.depth(spark, d), max_iter=3, labels=v.labels(spark, d))
+    codes = I.balanced_2means(_embedded(spark, d), v.depth(spark, d), max_iter=2, labels=v.labels(spark, d))
     return _leaf_sizes(codes)
 
 
 @query(HALVES_SQL)
 def index_labels_sizes(spark, d):
     """The default indexer: balanced spherical two-means."""
-    return _leaf_sizes(I.index_labels("skmeans", _embedded(spark, d), max_iter=3, labels=v.labels(spark, d)))
+    return _leaf_sizes(I.index_labels("skmeans", _embedded(spark, d), max_iter=2, labels=v.labels(spark, d)))
 
 
 v.VIEWS["fx_projected"] = (
@@ -267,7 +267,7 @@ def count_model(spark, d):
 def _predicted_counts_sql(weight: str) -> str:
     return (
         f"SELECT row_id, label_id, score, rank FROM (SELECT row_id, label_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, label_id) AS rank FROM "
-        f"(SELECT row_id, label_id, round(sum({weight} * m.val), 9) AS score FROM fx_z z JOIN fx_counts m USING (code) GROUP BY row_id, label_id)) WHERE rank <= 10"
+        f"(SELECT row_id, label_id, round(sum({weight} * m.val), 9) AS score FROM fx_z_top z JOIN fx_counts m USING (code) GROUP BY row_id, label_id)) WHERE rank <= 10"
     )
 
 
@@ -277,12 +277,12 @@ def _counts(spark, d):
 
 @query(_predicted_counts_sql("z.val"))
 def predict_counts(spark, d):
-    return L.predict_counts(v.z(spark, d), _counts(spark, d), 10, digits=9)
+    return L.predict_counts(_top_clusters(spark, d), _counts(spark, d), 10, digits=9)
 
 
 @query(_predicted_counts_sql("1"))
 def predict_counts_unweighted(spark, d):
-    return L.predict_counts(v.z(spark, d), _counts(spark, d), 10, weighted=False, digits=9)
+    return L.predict_counts(_top_clusters(spark, d), _counts(spark, d), 10, weighted=False, digits=9)
 
 
 # Flagship: embed labels, build a label tree, count labels per cluster, predict from the best clusters, judge.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecode.functions.text import join_codes
-from notecode.operators.skew import rank_in_groups, salted_join
+from notecode.operators.skew import rank_in_groups, skew_join
 
 # The known note categories.
 NOTE_CATEGORIES = (
@@ -140,7 +140,7 @@ def map_sets(mapping: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFram
 
 def map_codes(coded: DataFrame, sets: DataFrame, how: str = "inner") -> DataFrame:
     """Attach the target set of each row's code; codes without a target drop out (or stay, with ``left``)."""
-    mapped = salted_join(coded, sets.withColumnRenamed("src", "code"), ["code"], how)
+    mapped = skew_join(coded, sets.withColumnRenamed("src", "code"), ["code"], how)
     renames = {"long_title": "long_title_source"} if "long_title" in mapped.columns else {}
     return mapped.withColumnsRenamed(renames)
 
@@ -165,13 +165,13 @@ def label_matrix(coded: DataFrame, labels: DataFrame) -> DataFrame:
     Rows without a known code are simply absent here; the table of instances keeps them.
     """
     exploded = coded.select("row_id", F.explode(F.split("codes", ",")).alias("code")).distinct()
-    return salted_join(exploded, labels.select("label_id", "code"), ["code"]).select("row_id", "label_id").distinct()
+    return skew_join(exploded, labels.select("label_id", "code"), ["code"]).select("row_id", "label_id").distinct()
 
 
 def notes_with_codes(notes: DataFrame, codes: DataFrame) -> DataFrame:
     """One row per (note, code) of the same admission, without null rows."""
     complete = drop_missing(notes, ["hadm_id", "text"])
-    return salted_join(complete, drop_missing(codes, ["hadm_id", "code"]), ["hadm_id"])
+    return skew_join(complete, drop_missing(codes, ["hadm_id", "code"]), ["hadm_id"])
 
 
 def top_codes(codes: DataFrame, n: int = 10) -> DataFrame:
@@ -182,7 +182,7 @@ def top_codes(codes: DataFrame, n: int = 10) -> DataFrame:
 def rows_with_any_label(y: DataFrame, labels: DataFrame, instances: DataFrame) -> DataFrame:
     """Instances that carry at least one of ``labels``."""
     key = [c for c in labels.columns if c in y.columns]
-    hits = salted_join(y, labels.select(*key).distinct(), key, "left_semi")
+    hits = skew_join(y, labels.select(*key).distinct(), key, "left_semi")
     return instances.join(hits.select("row_id").distinct(), "row_id", "left_semi")
 
 

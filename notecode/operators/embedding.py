@@ -14,7 +14,7 @@ from notecode.operators.decomposition import project, truncated_svd
 from notecode.operators.features import fit_tfidf, normalize_rows, term_counts, tfidf
 from notecode.operators.matrix import dense_to_long, matmul
 from notecode.operators.sampling import seeded_hash
-from notecode.operators.skew import hottest, salted_join
+from notecode.operators.skew import skew_join
 
 
 def _with_val(y: DataFrame) -> DataFrame:
@@ -43,9 +43,9 @@ def scale_normalize(y: DataFrame) -> DataFrame:
     source = _with_val(y).select("row_id", "label_id", "val")
     entries = source
     for key in ("row_id", "label_id"):
-        sums = source.groupBy(key).agg(F.sum("val").alias("_sum"), F.count("*").alias("_n"))
+        sums = source.groupBy(key).agg(F.sum("val").alias("_sum"))
         root = F.sqrt(F.when(F.col("_sum") == 0, F.lit(1.0)).otherwise(F.col("_sum")))
-        joined = salted_join(entries, sums.select(key, "_sum"), [key], hot=hottest(sums, [key], "_n"))
+        joined = skew_join(entries, sums, [key])
         entries = joined.withColumn("val", F.col("val") / root).drop("_sum")
     return entries.select("row_id", "label_id", "val")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecode.functions.text import ngrams, tokenize_words
-from notecode.operators.skew import hottest, number_rows, salted_join
+from notecode.operators.skew import hottest, number_rows, skew_join
 
 
 def term_counts(texts: DataFrame, longest: int = 1) -> DataFrame:
@@ -32,7 +32,7 @@ def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
     The terms of most rows are salted in the join; ``df`` already tells which ones they are.
     """
     hot = hottest(weights, ["term"], "df")
-    joined = salted_join(counts, weights.select("term", "idf"), ["term"], hot=hot)
+    joined = skew_join(counts, weights.select("term", "idf"), ["term"], hot=hot)
     raw = joined.select("row_id", F.col("term").alias("col_id"), (F.col("n") * F.col("idf")).alias("val"))
     return normalize_rows(raw)
 
@@ -51,8 +51,7 @@ def normalize_rows(x: DataFrame, norm: str = "l2", row: str = "row_id") -> DataF
         size = F.sum(F.abs("val"))
     else:
         raise ValueError(f"norm must be 'l1' or 'l2', not {norm!r}")
-    norms = x.groupBy(row).agg(size.alias("_norm"), F.count("*").alias("_n"))
-    joined = salted_join(x, norms.select(row, "_norm"), [row], hot=hottest(norms, [row], "_n"))
+    joined = skew_join(x, x.groupBy(row).agg(size.alias("_norm")), [row])
     scaled = F.coalesce(F.col("val") / F.nullif(F.col("_norm"), F.lit(0.0)), F.col("val"))
     return joined.withColumn("val", scaled).select(*x.columns)
 
@@ -100,7 +99,7 @@ def encode_tokens(
     """
     kept = texts.select("row_id", F.slice(tokenize_words(F.col("text")), 1, max_len - 2).alias("words"))
     words = kept.select("row_id", F.posexplode("words").alias("pos", "term"))
-    known = salted_join(words, vocab.select("term", "id"), ["term"], "left", hot=hottest(vocab, ["term"], "df"))
+    known = skew_join(words, vocab.select("term", "id"), ["term"], "left", hot=hottest(vocab, ["term"], "df"))
     found = F.coalesce(F.col("id"), F.lit(unknown_id)).cast("int")
     ids = known.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("pos", found.alias("id")))).alias("_ids"))
     body = F.coalesce(F.transform("_ids", lambda e: e["id"]), F.array().cast("array<int>"))

@@ -18,7 +18,7 @@ from notecode.operators.decomposition import random_normal
 from notecode.operators.features import normalize_rows
 from notecode.operators.ranking import ordinal_rank
 from notecode.operators.sampling import seeded_hash
-from notecode.operators.skew import hot_keys, rank_in_groups, salted_join, top_in_groups
+from notecode.operators.skew import hot_keys, rank_in_groups, skew_join, top_in_groups
 from notecode.session import checkpointed
 
 SCORE_DIGITS = 6  # scores are rounded before they are ranked, so that summation order cannot matter
@@ -70,14 +70,14 @@ def _split_level(features: DataFrame, state: DataFrame, largest: int, max_iter:
     ready = by_place.join(sizes, "node").select(
         "label_id", "node", "_size", "rank", (F.col("rank") > F.floor(F.col("_size") / 2)).alias("side")
     )
-    entries = checkpointed(salted_join(features, ready.select("label_id", "node"), ["label_id"]))
+    entries = checkpointed(skew_join(features, ready.select("label_id", "node"), ["label_id"]))
     hot = checkpointed(hot_keys(entries, ["node", "col_id"]))
     # nodes of one label have nothing to split: the label is their right half
     settled = [ready.filter(F.col("_size") < 2)]
     active = checkpointed(ready.filter(F.col("_size") >= 2))
     for step in range(max_iter):
         centre = _first_centre(entries, active, seed) if step == 0 else _centre(entries, active, spherical)
-        products = salted_join(entries, centre, ["node", "col_id"], hot=hot)
+        products = skew_join(entries, centre, ["node", "col_id"], hot=hot)
         scores = products.groupBy("label_id").agg(F.round(F.sum(F.col("val") * F.col("_c")), SCORE_DIGITS).alias("_score"))
         scored = active.drop("rank").join(scores, "label_id", "left").withColumn("_score", F.coalesce("_score", F.lit(0.0)))
         ranked = rank_in_groups(scored, ["node"], [F.col("_score"), F.col("label_id")], "rank", largest=largest)
@@ -110,7 +110,7 @@ def _first_centre(entries: DataFrame, active: DataFrame, seed: int) -> DataFrame
 
 def _centre(entries: DataFrame, active: DataFrame, spherical: bool) -> DataFrame:
     """Direction from the left to the right half of each node."""
-    members = salted_join(entries, active.select("label_id", "side"), ["label_id"])
+    members = skew_join(entries, active.select("label_id", "side"), ["label_id"])
     sums = members.groupBy("node", "side", "col_id").agg(F.sum("val").alias("_s"))
     if spherical:
         norms = sums.groupBy("node", "side").agg(F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_d"))
@@ -175,7 +175,7 @@ def uniform_codes(features: DataFrame, kdim: int, depth: int, seed: int = 0, lab
     """Random projection, each dimension cut at ``kdim`` evenly spaced points from its minimum to its maximum."""
     projected = random_projection(features, depth, seed, labels)
     ranges = projected.groupBy("dim").agg(F.min("val").alias("_lo"), F.max("val").alias("_hi"))
-    joined = salted_join(projected, ranges, ["dim"])
+    joined = skew_join(projected, ranges, ["dim"])
     # points lo, lo+step, ..., hi: the bin is the number of points not above the value, minus one
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(max(kdim - 1, 1)))
     inner = F.coalesce(F.floor(F.try_divide(F.col("val") - F.col("_lo"), step)), F.lit(kdim - 1))

@@ -29,7 +29,7 @@ from notecode.operators.matrix import (
     score_pairs,
 )
 from notecode.operators.ranking import topk_per_row
-from notecode.operators.skew import hottest, salted_join
+from notecode.operators.skew import hottest, skew_join
 from notecode.session import checkpointed
 
 # Solver names and numbers.
@@ -61,7 +61,7 @@ class Fit:
 
 def instance_clusters(y: DataFrame, c: DataFrame) -> DataFrame:
     """``Y·C``: how many labels of each cluster an instance has: (row_id, code, val)."""
-    joined = salted_join(y.select("row_id", "label_id"), c.select("label_id", "code"), ["label_id"])
+    joined = skew_join(y.select("row_id", "label_id"), c.select("label_id", "code"), ["label_id"])
     return joined.groupBy("row_id", "code").agg(F.count("*").cast("double").alias("val"))
 
 
@@ -205,11 +205,11 @@ def _renewed(df: DataFrame) -> DataFrame:
 
 
 def _train_blocks(x: DataFrame, y: DataFrame, c: DataFrame, active: DataFrame, sizes: DataFrame, fit: Fit) -> DataFrame:
-    block_x = salted_join(x, active, ["row_id"]).select("code", "row_id", "col_id", "val")
+    block_x = skew_join(x, active, ["row_id"]).select("code", "row_id", "col_id", "val")
     labelled = c.select("label_id", "code").join(sizes.select("code"), "code", "left_semi")
     row_type = x.schema["row_id"].dataType
     listed = labelled.select("code", "label_id", F.lit(None).cast(row_type).alias("row_id"))
-    true = salted_join(y.select("row_id", "label_id").distinct(), labelled, ["label_id"])
+    true = skew_join(y.select("row_id", "label_id").distinct(), labelled, ["label_id"])
     true = true.join(active, ["row_id", "code"], "left_semi").select("code", "label_id", "row_id")
     schema = f"label_id {c.schema['label_id'].dataType.simpleString()}, col_id {x.schema['col_id'].dataType.simpleString()}, val double"
     targets = listed.unionByName(true)
@@ -474,7 +474,7 @@ def score_blocks(x: DataFrame, w: DataFrame, c: DataFrame, z: DataFrame, block_e
     sizes = active.groupBy("code").agg(F.coalesce(F.sum("_entries"), F.lit(0)).alias("_size"), F.count("*").alias("_rows"))
     blocks = sizes.select("code", "_rows", (F.floor(F.col("_size") / block_entries) + 1).cast("int").alias("_blocks"))
     hot = hottest(blocks, ["code"], "_rows")
-    placed = salted_join(active.drop("_entries"), blocks.select("code", "_blocks"), ["code"], hot=hot)
+    placed = skew_join(active.drop("_entries"), blocks.select("code", "_blocks"), ["code"], hot=hot)
     placed = placed.select("row_id", "code", "parent_score", F.pmod(F.xxhash64("row_id"), F.col("_blocks")).cast("int").alias("block"))
     features = placed.join(x, "row_id", "left").select("code", "block", "row_id", "parent_score", "col_id", "val")
     weighted = c.select("label_id", "code").join(w, "label_id", "left").select("code", "label_id", "col_id", "val")

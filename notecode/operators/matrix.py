@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notecode.operators.skew import hot_keys, salted_join
+from notecode.operators.skew import skew_join
 
 MAX_DENSE_LABELS = 1_000  # most labels scored for every instance
 
@@ -43,7 +43,7 @@ def transpose(x: DataFrame) -> DataFrame:
 
 def row_subset(x: DataFrame, rows: DataFrame, column: str = "row_id") -> DataFrame:
     """Entries whose row (or other ``column``) is listed in ``rows``."""
-    return salted_join(x, rows.select(column).distinct(), [column], "left_semi")
+    return skew_join(x, rows.select(column).distinct(), [column], "left_semi")
 
 
 def col_subset(x: DataFrame, cols: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def col_subset(x: DataFrame, cols: DataFrame) -> DataFrame:
 
 def row_scale(x: DataFrame, factors: DataFrame, column: str = "row_id") -> DataFrame:
     """Multiply each entry by the factor of its row (or other ``column``): factors are (column, factor)."""
-    joined = salted_join(x, factors.select(column, "factor"), [column])
+    joined = skew_join(x, factors.select(column, "factor"), [column])
     return joined.withColumn("val", F.col("val") * F.col("factor")).select(*x.columns)
 
 
@@ -71,11 +71,11 @@ def matmul(
 ) -> DataFrame:
     """``C[row, col] = Σ_inner a[row, inner] * b[inner, col]``: join on the inner index, sum by cell.
 
-    Products are summed per input partition before the shuffle; hot inner indices of ``a`` are salted.
+    Products are summed per input partition before the shuffle; ``hot`` names known frequent inner indices.
     """
     left = a.select(row, inner, F.col("val").alias("_a"))
     right = b.select(inner, col, F.col("val").alias("_b"))
-    products = salted_join(left, right, [inner], hot=hot)
+    products = skew_join(left, right, [inner], hot=hot)
     return products.groupBy(row, col).agg(F.sum(F.col("_a") * F.col("_b")).alias("val"))
 
 
@@ -90,7 +90,7 @@ def rmatvec(x: DataFrame, u: DataFrame, add: DataFrame | None = None) -> DataFra
 
 
 def _times_vector(x: DataFrame, v: DataFrame, out: str, inner: str, add: DataFrame | None) -> DataFrame:
-    joined = salted_join(x.select(out, inner, F.col("val").alias("_x")), v.select(inner, F.col("val").alias("_v")), [inner])
+    joined = skew_join(x.select(out, inner, F.col("val").alias("_x")), v.select(inner, F.col("val").alias("_v")), [inner])
     products = joined.select(out, (F.col("_x") * F.col("_v")).alias("val"))
     if add is not None:
         products = products.unionByName(add.select(out, "val"))
@@ -100,10 +100,9 @@ def _times_vector(x: DataFrame, v: DataFrame, out: str, inner: str, add: DataFra
 def score_pairs(x: DataFrame, w: DataFrame, pairs: DataFrame) -> DataFrame:
     """Dot products of the listed (row_id, label_id) pairs only; pairs without common columns get 0."""
     wanted = pairs.select("row_id", "label_id").distinct()
-    entries = salted_join(wanted, x.select("row_id", "col_id", F.col("val").alias("_x")), ["row_id"])
-    # a popular label is hot in every one of its columns, so labels are marked rather than cells
+    entries = skew_join(wanted, x.select("row_id", "col_id", F.col("val").alias("_x")), ["row_id"])
     weights = w.select("label_id", "col_id", F.col("val").alias("_w"))
-    products = salted_join(entries, weights, ["label_id", "col_id"], hot=hot_keys(wanted, ["label_id"]))
+    products = skew_join(entries, weights, ["label_id", "col_id"])
     scores = products.groupBy("row_id", "label_id").agg(F.sum(F.col("_x") * F.col("_w")).alias("score"))
     return wanted.join(scores, ["row_id", "label_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
@@ -131,7 +130,7 @@ def expand_candidates(z: DataFrame, c: DataFrame) -> DataFrame:
     Clusters with score 0 are kept.
     """
     scored = z.select("row_id", "code", F.col("val").alias("parent_score"))
-    joined = salted_join(scored, c.select("label_id", "code"), ["code"])
+    joined = skew_join(scored, c.select("label_id", "code"), ["code"])
     return joined.select("row_id", "label_id", "code", "parent_score")
 
 

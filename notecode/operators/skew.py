@@ -26,7 +26,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], n: int = HOT_KEYS) -> DataFrame
     return hottest(df.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, "_rows", n)
 
 
-def salted_join(
+def skew_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str],
@@ -34,16 +34,19 @@ def salted_join(
     hot: DataFrame | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """``big ⋈ small`` with the rows of hot keys of ``big`` spread over ``salts`` tasks.
-
-    ``hot`` holds the hot keys, or hot values of some of the key columns (at most a few dozen
-    rows); by default they are counted from ``big``. The salt is a hash of the row itself, so a retried task makes the same choice. Only
-    hot keys of ``small`` are repeated. ``how`` may be any join that keeps or drops rows of
-    ``big``: inner, left, left_semi, left_anti.
+    """``big ⋈ small`` where some keys may hold a large share of the rows of ``big``.
+
+    Without ``hot`` this is a plain join, whose oversized partitions adaptive execution splits at run
+    time from the sizes it measured; nothing is counted beforehand. Where the frequent keys are known
+    anyway, ``hot`` names them (at most a few dozen rows, for all or some of the key columns): their
+    rows are then spread over ``salts`` tasks whatever the session settings, and only the hot keys of
+    ``small`` are repeated. The salt is a hash of the row itself, so a retried task makes the same
+    choice. ``how`` may be any join that keeps or drops rows of ``big``: inner, left, left_semi,
+    left_anti.
     """
     on = list(on)
     if hot is None:
-        hot = hot_keys(big, on)
+        return big.join(small, on, how)
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     hot_on = hot.columns
     rest = [c for c in big.columns if c not in on]
