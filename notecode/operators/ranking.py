@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notecode.operators.skew import rank_in_groups, top_in_groups
@@ -19,18 +21,21 @@ def topk_per_column(pred: DataFrame, k: int | None = None, row: str = "row_id",
     return topk_per_row(pred, k, row=col, col=row)
 
 
-def longest_row(*preds: DataFrame) -> Column:
-    """The largest number of entries of any row in any of the predictions, as a scalar column."""
-    lengths = [p.groupBy("row_id").agg(F.count("*").alias("n")).agg(F.max("n")).scalar() for p in preds]
-    return F.greatest(*lengths) if len(lengths) > 1 else lengths[0]
+def longest_row(*preds: DataFrame) -> int:
+    """The largest number of entries of any row in any of the predictions: one counting job for all."""
+    lengths = [p.groupBy("row_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")) for p in preds]
+    return reduce(DataFrame.unionByName, lengths).agg(F.max("n")).first()[0] or 0
+
 
+def relevance(pred: DataFrame, longest: int | None = None) -> DataFrame:
+    """Replace scores by ``longest - rank + 1``: the best of a row gets ``longest``, and none gets 0.
 
-def relevance(pred: DataFrame, longest: Column | None = None) -> DataFrame:
-    """Replace scores by ``longest - rank + 1``: the best of a row gets ``longest``, and none gets 0."""
+    The longest row also tells how large a group the ranking has to handle.
+    """
     if longest is None:
         longest = longest_row(pred)
-    ranked = topk_per_row(pred)
-    return ranked.withColumn("score", (longest - F.col("rank") + 1).cast("double"))
+    ranked = rank_in_groups(pred, ["row_id"], [F.desc("score"), F.col("label_id")], largest=longest)
+    return ranked.withColumn("score", (F.lit(longest) - F.col("rank") + 1).cast("double"))
 
 
 def ordinal_rank(projected: DataFrame, n_labels: int, bins: int) -> DataFrame:

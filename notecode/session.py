@@ -8,6 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """Session settings the operators are written for.
+
+    Joins are left to adaptive execution: it measures each side, broadcasts one only if it is small,
+    and splits oversized partitions of a hot key, also where that costs one more shuffle.
+    """
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as named by the cluster in ``spark.checkpoint.dir``.
 
