@@ -36,6 +36,7 @@ from notecode.session import checkpointed
 SOLVERS = {"L2R_L2LOSS_SVC_DUAL": 1, "L2R_L1LOSS_SVC_DUAL": 3, "L1R_L2LOSS_SVC": 5, "L2R_LR_DUAL": 7}
 
 BLOCK_ENTRIES = 500_000  # most feature entries handled by one task as one block
+BLOCK_CELLS = 20_000_000  # most (entry or column) × label cells of one block
 DENSE_CELLS = 5_000_000  # largest block kept as a dense array
 BOUND_ROUNDS = 4
 
@@ -183,15 +184,17 @@ def train_linear(
 ) -> DataFrame:
     """Weights of every label of ``c``, each trained on the instances active in its cluster.
 
-    A cluster of up to ``block_entries`` feature entries is fitted in one task for all its labels.
-    How many entries each cluster has is counted first; larger clusters go to
+    A cluster of up to ``block_entries`` feature entries, and not too many labels for them, is fitted
+    in one task for all its labels. Entries and labels are counted first; larger clusters go to
     :func:`train_distributed`, where no task needs a whole cluster.
     """
     active = z.select("row_id", "code")
     lengths = x.groupBy("row_id").agg(F.count("*").alias("_entries"))
     sizes = active.join(lengths, "row_id").groupBy("code").agg(F.sum("_entries").alias("_size"))
-    sizes = checkpointed(sizes)
-    small, large = sizes.filter(F.col("_size") <= block_entries), sizes.filter(F.col("_size") > block_entries)
+    n_labels = c.groupBy("code").agg(F.count("*").alias("_labels"))
+    fits = (F.col("_size") <= block_entries) & (F.col("_size") * F.col("_labels") <= BLOCK_CELLS)
+    sizes = checkpointed(sizes.join(n_labels, "code").select("code", fits.alias("_fits")))
+    small, large = sizes.filter("_fits").select("code"), sizes.filter(~F.col("_fits")).select("code")
     weights = _train_blocks(x, y, c, active.join(small.select("code"), "code", "left_semi"), small, fit)
     if large.isEmpty():
         return weights
@@ -465,25 +468,45 @@ def merge_models(upper: Model, lower: Model) -> Model:
 def score_blocks(x: DataFrame, w: DataFrame, c: DataFrame, z: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """Scores of all labels of each instance's clusters: (row_id, label_id, code, parent_score, score).
 
-    The same result as expanding candidates and scoring the pairs, but a cluster's weights meet a
-    block of its instances in one task. A cluster with more than ``block_entries`` feature entries is
-    cut into blocks by a hash of the instance, however many instances it has.
+    The same result as expanding candidates and scoring the pairs, but the weights of a cluster meet
+    a block of its instances in one task. A large cluster is cut by a hash of the instance, so that
+    no block has more than about ``block_entries`` feature entries or too many scores, and by a hash
+    of the label if it has very many weights, however many instances and labels it has.
     """
     lengths = x.groupBy("row_id").agg(F.count("*").alias("_entries"))
     active = z.select("row_id", "code", F.col("val").alias("parent_score")).join(lengths, "row_id", "left")
+    weighted = c.select("label_id", "code").join(w, "label_id", "left").select("code", "label_id", "col_id", "val")
     sizes = active.groupBy("code").agg(F.coalesce(F.sum("_entries"), F.lit(0)).alias("_size"), F.count("*").alias("_rows"))
-    blocks = sizes.select("code", "_rows", (F.floor(F.col("_size") / block_entries) + 1).cast("int").alias("_blocks"))
+    heights = weighted.groupBy("code").agg(F.count("*").alias("_weights"))
+    widths = c.groupBy("code").agg(F.count("*").alias("_labels"))
+    cuts = sizes.join(heights, "code").join(widths, "code")
+    label_blocks = F.floor(F.col("_weights") / (4 * block_entries)) + 1
+    scores = F.col("_rows") * F.col("_labels") / label_blocks
+    blocks = cuts.select(
+        "code",
+        "_rows",
+        (F.floor(F.greatest(F.col("_size") / block_entries, scores / DENSE_CELLS)) + 1).cast("int").alias("_blocks"),
+        label_blocks.cast("int").alias("_label_blocks"),
+    )
+    blocks = checkpointed(blocks)  # one row per cluster, used on both sides
     hot = hottest(blocks, ["code"], "_rows")
-    placed = skew_join(active.drop("_entries"), blocks.select("code", "_blocks"), ["code"], hot=hot)
-    placed = placed.select("row_id", "code", "parent_score", F.pmod(F.xxhash64("row_id"), F.col("_blocks")).cast("int").alias("block"))
-    features = placed.join(x, "row_id", "left").select("code", "block", "row_id", "parent_score", "col_id", "val")
-    weighted = c.select("label_id", "code").join(w, "label_id", "left").select("code", "label_id", "col_id", "val")
+    placed = skew_join(active.drop("_entries"), blocks.drop("_rows"), ["code"], hot=hot)
+    placed = placed.select(
+        "row_id",
+        "code",
+        "parent_score",
+        F.pmod(F.xxhash64("row_id"), F.col("_blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("_label_blocks") - 1)).alias("label_block"),
+    )
+    key = ["code", "block", "label_block"]
+    features = placed.join(x, "row_id", "left").select(*key, "row_id", "parent_score", "col_id", "val")
     spread = weighted.join(blocks, "code").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    spread = spread.select("code", "block", "label_id", "col_id", "val")
+    label_block = F.pmod(F.xxhash64("label_id"), F.col("_label_blocks")).cast("int").alias("label_block")
+    spread = spread.select("code", "block", label_block, "label_id", "col_id", "val")
     kinds = {n: d.schema[n].dataType.simpleString() for n, d in (("row_id", z), ("label_id", c), ("code", z))}
     schema = f"row_id {kinds['row_id']}, label_id {kinds['label_id']}, code {kinds['code']}, parent_score double, score double"
     features, spread = _renewed(features), _renewed(spread)
-    pairs = features.groupBy("code", "block").cogroup(spread.groupBy("code", "block"))
+    pairs = features.groupBy(*key).cogroup(spread.groupBy(*key))
     return pairs.applyInPandas(_score_block, schema)
 
 
