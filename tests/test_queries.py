@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as registered
+import catalog.all as _all
 from oracle import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,7 +31,7 @@ def test_query(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(_all.QUERIES) == set(_all.SQL)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
