@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notecode.llm import chat, exact, mixing
+from notecode.llm import chat, exact, mixing, near, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,48 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its group of equal texts that stays."""
     found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query(f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS grams FROM d
+), n AS (SELECT doc_id, len(grams) AS n FROM s
+), e AS (SELECT doc_id, unnest(grams) AS gram FROM s
+), g AS (SELECT doc_id, gram, n FROM e JOIN n USING (doc_id)
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r AS (
+  WITH RECURSIVE t(id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT p.b, t.root FROM t JOIN p ON p.a = t.id WHERE t.root < p.b)
+  SELECT id, min(root) AS component_id FROM t GROUP BY id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN r ON r.id = n.doc_id""")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near duplicates."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents
+), v AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d
+), x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM v
+), m AS (SELECT win, min(doc_id) AS low FROM x GROUP BY win HAVING min(doc_id) < max(doc_id)
+), k AS (SELECT x.doc_id, list(i) AS starts FROM x JOIN m USING (win) WHERE doc_id > low GROUP BY x.doc_id
+), o AS (
+  SELECT doc_id, unnest(list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50))))) AS place FROM k
+), c AS (SELECT doc_id, list(place) AS gone FROM o GROUP BY doc_id
+), t AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)
+), l AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM t
+), y AS (
+  SELECT l.doc_id, string_agg(word, ' ' ORDER BY l.place) AS kept FROM l ANTI JOIN o ON o.doc_id = l.doc_id AND o.place = l.place GROUP BY l.doc_id
+)
+SELECT t.doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN y USING (doc_id)""")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words that an earlier document has."""
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
