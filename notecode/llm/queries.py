@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notecode.llm import chat, exact, mixing, near, substrings
+from notecode.llm import chat, exact, language, mixing, near, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,3 +162,38 @@ FROM t LEFT JOIN y USING (doc_id)""")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 50 words that an earlier document has."""
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    found = pii.private_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_disguised"),
+    )
+
+
+@query()
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of the labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language.held_out("doc_id", 3, 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~out)
+    model = quality.learn(docs.join(labels, "doc_id"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by profiles of the four fifths that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out("doc_id", 5, 0)
+    found = language.identify(docs, language.learn(docs.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
