@@ -191,23 +191,23 @@ class CuckooIndex:
         self.generation += 1
         batch = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
         batch = materialised(batch.filter("digest IS NOT NULL"), "batch")
+        new = batch.count()
+        if self.size + new > self.shards * self.per_shard:
+            while self.size + new > self.shards * self.per_shard:
+                self.shards *= 2
+            self._keep(self._built())
         before = self.live()
         probed = materialised(self._cogroup(batch, self.filters, _probe, _PROBED), "probed")
         hits = probed.filter("hit").select("digest")
         known = materialised(hits.join(before, "digest", "left_semi"), "known")
         entry = batch.select("digest", F.lit(self.generation).alias("generation"), "keep_id", "n", F.lit(False).alias("deleted"))
         self.log.append(materialised(entry, "log"))
-        self.size += batch.count() - known.count()
-        if self.size > self.shards * self.per_shard:
-            while self.size > self.shards * self.per_shard:
-                self.shards *= 2
-            self._keep(self._built())
-        else:
-            now = probed.filter("digest IS NULL").select("shard", "buckets", F.expr("if(full, null, slots)").alias("slots"))
-            self._keep(now)
-            wrong = hits.join(known, "digest", "left_anti")
-            if not wrong.isEmpty():
-                self._keep(self._cogroup(wrong, self.filters, _change(False), _FILTERS))
+        self.size += new - known.count()
+        now = probed.filter("digest IS NULL").select("shard", "buckets", F.expr("if(full, null, slots)").alias("slots"))
+        self._keep(now)
+        wrong = hits.join(known, "digest", "left_anti")
+        if not wrong.isEmpty():
+            self._keep(self._cogroup(wrong, self.filters, _change(False), _FILTERS))
         return batch.select("digest").join(known.withColumn("_known", F.lit(True)), "digest", "left").select(
             "digest", F.col("_known").isNotNull().alias("known")
         )
@@ -254,7 +254,8 @@ def exact_duplicates(
     delivery = F.pmod(F.xxhash64("id"), F.lit(batches))
     for k in range(batches):
         index.insert(rows.filter(delivery == k))
-    return rows.join(index.live(), "digest").select(
+    live = materialised(index.live(), "live")  # a plain table, so that a join can split the rows of one digest
+    return rows.join(live, "digest").select(
         F.col("id").alias("doc_id"),
         "keep_id",
         F.col("n").alias("group_size"),

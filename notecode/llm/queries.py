@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notecode.llm import chat, exact, language, mixing, near, pii, quality, substrings
+from notecode.llm import chat, decontamination, exact, language, lines, mixing, near, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,3 +197,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.held_out("doc_id", 5, 0)
     found = language.identify(docs, language.learn(docs.filter(~out)))
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+#: Distinct lower-case 5-word shingles of a table's texts in SQL.
+GRAMS = WORDS.replace("coalesce(text, '')", "lower(coalesce(text, ''))")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {GRAMS} AS w FROM documents), i AS (SELECT item_id, {GRAMS} AS w FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS gram FROM d),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS gram FROM i),
+n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM dg JOIN ig USING (gram) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 75""")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents
+), l AS (SELECT doc_id, line, list_sort(list_distinct({WORDS})) AS w FROM t
+), c AS (SELECT w, min(struct_pack(d := doc_id, l := line)) AS low, len(w)::BIGINT AS n FROM l WHERE len(w) > 0 GROUP BY w
+), e AS (SELECT low, n, w, unnest(w) AS word FROM c
+), f AS (SELECT word, count(*) AS df FROM e GROUP BY word
+), r AS (SELECT low, n, w, word, row_number() OVER (PARTITION BY low ORDER BY df, word) AS place FROM e JOIN f USING (word)
+), p AS (SELECT * FROM r WHERE place <= n - (n * 90 + 99) // 100 + 1
+), m AS (
+  SELECT DISTINCT y.low AS low FROM p AS x JOIN p AS y ON x.word = y.word AND x.low < y.low AND x.n * 100 >= y.n * 90 AND y.n * 100 >= x.n * 90
+  WHERE len(list_intersect(x.w, y.w)) * 100 >= (x.n + y.n - len(list_intersect(x.w, y.w))) * 90
+), g AS (
+  SELECT doc_id, line FROM l JOIN c USING (w) WHERE low <> struct_pack(d := doc_id, l := line) OR low IN (SELECT low FROM m)
+), o AS (SELECT doc_id, count(*) AS n_removed, string_agg(line, ',' ORDER BY line) AS removed FROM g GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_lines, any_value(coalesce(n_removed, 0)) AS n_removed, any_value(coalesce(removed, '')) AS removed
+FROM l LEFT JOIN o USING (doc_id) GROUP BY doc_id""")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that are similar to an earlier line of the corpus."""
+    found = lines.removed_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
