@@ -38,7 +38,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     sharing = F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     sources = sources.withColumn("level", left / sharing)
     open_ended = F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))
-    sources = sources.withColumn("level", F.min(open_ended).over(everyone))
+    # the level grows up to the first source that it leaves below its cap, and falls from there on
+    sources = sources.withColumn("level", F.max(open_ended).over(everyone))
     target = F.least("cap", F.col("weight") * F.coalesce("level", F.lit(float("inf"))))
     return sources.select("source", "source_size", target.alias("target"))
 

@@ -87,7 +87,7 @@ WITH d AS (
     (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
   FROM s WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, least(cap, weight * coalesce(min(CASE WHEN cap / weight >= level THEN level END) OVER (), 'inf'::DOUBLE)) AS target
+  SELECT source, source_size, least(cap, weight * coalesce(max(CASE WHEN cap / weight >= level THEN level END) OVER (), 'inf'::DOUBLE)) AS target
   FROM l
 ), q AS (
   SELECT d.*, source_size, target,
