@@ -96,12 +96,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = texts.filter(f"n >= {length} AND id IS NOT NULL").groupBy(*same).agg(F.min("id").alias("first"))
     first = materialised(first, "first")
 
+    # one shuffle serves the grouping and the join: both sides use every column, so both plans of it are equal
     placed = map_rows(chosen, anchors, "hash long, sequence long, id long, place int")
-    shared = placed.groupBy("hash").agg(F.min("sequence").alias("low"), F.max("sequence").alias("high"))
-    shared = shared.filter("low < high").select("hash")
-    hits = placed.select("hash", "id", "place").join(shared, "hash", "left_semi")
+    placed = placed.filter("hash IS NOT NULL AND id IS NOT NULL").repartition("hash")
+    low, high = F.min("sequence").alias("low"), F.max("sequence").alias("high")
+    shared = placed.groupBy("hash").agg(low, high, F.max("id").alias("top"), F.max("place").alias("far"))
+    shared = shared.filter("low < high AND top IS NOT NULL AND far >= 0").select("hash", "low", "high")
+    hits = placed.join(shared, "hash").filter("sequence <> low OR sequence <> high").select("id", "place")
     hits = hits.groupBy("id").agg(F.collect_set("place").alias("places"))
-    hits = hits.join(first.select(F.col("first").alias("id")), "id", "left_semi")
+    hits = hits.join(first.select(F.col("first").alias("id")), "id")  # one row per id; a semi join would be moved below the shuffle
     found = materialised(chosen.join(hits, "id"), "found")
 
     def windows(batch):
@@ -119,8 +122,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         yield from _gathered(items(), ("hash", "id", "start"))
 
     spread = map_rows(found.select("id", "text", "places"), windows, "hash long, id long, start int")
-    earliest = spread.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    later = spread.join(earliest.select("hash", "low"), "hash").filter("id > low")
+    spread = spread.filter("hash IS NOT NULL AND id IS NOT NULL").repartition("hash")
+    earliest = spread.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("start").alias("far"))
+    earliest = earliest.filter("low < high AND far >= 0").select("hash", "low")
+    later = spread.join(earliest, "hash").filter("id > low").select("id", "start")
     later = later.groupBy("id").agg(F.collect_set("start").alias("starts"))
 
     def cut(batch):
