@@ -201,31 +201,35 @@ def score_text(text: str | None, model: np.ndarray) -> float:
     return float(np.dot(good, chars) / chars.sum())
 
 
+def constant(share: float) -> np.ndarray:
+    """A model that scores every line alike."""
+    n = with_neighbours(line_shapes("")[0]).shape[1]
+    odds = math.log((share + 1e-9) / (1 - share + 1e-9))
+    return np.concatenate((np.zeros(n), np.ones(n), np.eye(1, n, n - 1)[0] * odds, np.zeros(4)))
+
+
 def learn(rows: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, seed: str = "quality") -> list[float]:
     """Weights fitted on at most ``sample`` rows ``(doc_id, text, label)``, those with the least digests.
 
     The bound is on the fitted rows only; they go to one task. Rows without label are ignored. Without
-    rows, or with one label only, the model scores that label's share (0.5 without rows) everywhere.
+    rows every text scores 0.5, with one label only that label.
     """
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     chosen = rows.filter("label IN (0, 1)").select("doc_id", F.col("text").cast("string").alias("text"), "label", order.alias("_order"))
     chosen = chosen.orderBy("_order", "doc_id", "text").limit(sample).drop("doc_id")
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches) or [pd.DataFrame({"text": [], "label": [], "_order": []})]).sort_values("_order")
+        batches = [b for b in batches if len(b)]
+        if not batches:
+            return
+        rows = pd.concat(batches).sort_values("_order")
         labels = rows["label"].astype(int).tolist()
         texts = [t if isinstance(t, str) else None for t in rows["text"]]
-        if len(set(labels)) == 2:
-            model = fit(texts, labels, rounds)
-        else:
-            share = sum(labels) / len(labels) if labels else 0.5
-            n = with_neighbours(line_shapes("")[0]).shape[1]
-            odds = math.log((share + 1e-9) / (1 - share + 1e-9))
-            model = np.concatenate((np.zeros(n), np.ones(n), np.eye(1, n, n - 1)[0] * odds, np.zeros(4)))
+        model = fit(texts, labels, rounds) if len(set(labels)) == 2 else constant(float(labels[0]))
         yield pd.DataFrame({"place": np.arange(len(model)), "weight": model})
 
     found = chosen.coalesce(1).mapInPandas(train, "place long, weight double").collect()
-    return [r["weight"] for r in sorted(found)]
+    return [r["weight"] for r in sorted(found)] or constant(0.5).tolist()
 
 
 def score(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
