@@ -84,14 +84,14 @@ def rows_with_any_label(spark, d):
 
 
 @query(
-    "SELECT hadm_id, 0 AS part, md5(string_agg(text, ' ' ORDER BY row_id)) AS digest, string_agg(category, ' ' ORDER BY row_id) AS category "
+    "SELECT hadm_id, md5(string_agg(text, ' ' ORDER BY row_id)) AS digest, string_agg(category, ' ' ORDER BY row_id) AS category "
     "FROM fx_notes GROUP BY hadm_id"
 )
 def concat_notes(spark, d):
-    return A.concat_notes(v.notes(spark, d)).select("hadm_id", "part", F.md5("text").alias("digest"), "category")
+    return A.concat_notes(v.notes(spark, d)).select("hadm_id", F.md5("text").alias("digest"), "category")
 
 
-@query("SELECT hadm_id, 0 AS part, string_agg(code, ',' ORDER BY seq_num) AS codes FROM fx_proc GROUP BY hadm_id")
+@query("SELECT hadm_id, string_agg(code, ',' ORDER BY seq_num) AS codes FROM fx_proc GROUP BY hadm_id")
 def codes_per_admission(spark, d):
     return A.codes_per_admission(v.proc(spark, d))
 
@@ -102,20 +102,20 @@ v.VIEWS["fx_admissions"] = (
 )
 
 
-@query("SELECT hadm_id, 0 AS part, md5(text) AS digest, category, codes FROM fx_admissions")
+@query("SELECT hadm_id, md5(text) AS digest, category, codes FROM fx_admissions")
 def build_admissions(spark, d):
     notes = A.first_by_text(v.docs(spark, d))
     built = A.build_admissions(notes, v.diag(spark, d), v.proc(spark, d))
-    return built.select("hadm_id", "part", F.md5("text").alias("digest"), "category", "codes")
+    return built.select("hadm_id", F.md5("text").alias("digest"), "category", "codes")
 
 
 @query(
-    "SELECT hadm_id, 0 AS part, string_agg(code, ',' ORDER BY seq_num) AS codes FROM fx_proc "
+    "SELECT hadm_id, string_agg(code, ',' ORDER BY seq_num) AS codes FROM fx_proc "
     "WHERE hadm_id IN (SELECT hadm_id FROM fx_first) GROUP BY hadm_id"
 )
 def build_admissions_procedures(spark, d):
     notes = A.first_by_text(v.docs(spark, d))
-    return A.build_admissions(notes, v.diag(spark, d), v.proc(spark, d), which="proc").select("hadm_id", "part", "codes")
+    return A.build_admissions(notes, v.diag(spark, d), v.proc(spark, d), which="proc").select("hadm_id", "codes")
 
 
 @query(
@@ -128,9 +128,9 @@ def common_codes_of_admissions(spark, d):
     return A.top_codes(built.select(F.explode(F.split("codes", ",")).alias("code")), 10)
 
 
-@query("SELECT src, 0 AS part, string_agg(tgt, ',' ORDER BY tgt) AS targets FROM (SELECT DISTINCT src, tgt FROM fx_map) GROUP BY src")
+@query("SELECT src, string_agg(tgt, ',' ORDER BY tgt) AS targets FROM (SELECT DISTINCT src, tgt FROM fx_map) GROUP BY src")
 def map_sets(spark, d):
-    return A.map_sets(v.mapping(spark, d)).select("src", "part", F.array_join("targets", ",").alias("targets"))
+    return A.map_sets(v.mapping(spark, d)).select("src", F.array_join("targets", ",").alias("targets"))
 
 
 @query(

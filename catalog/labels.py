@@ -56,13 +56,14 @@ def scale_normalize(spark, d):
 @query("SELECT i AS dim, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS product, j AS other FROM range(0, 3) a(i), range(0, 3) b(j)")
 def spectral_products(spark, d):
     """Inner products of the spectral dimensions for 8 clusters: they are orthonormal."""
-    vectors = E.spectral(v.y(spark, d), 8, iterations=2)
+    vectors = E.spectral(v.y(spark, d), 8)
     wide = vectors.groupBy("label_id").agg(
         F.array(*[F.coalesce(F.sum(F.when(F.col("col_id") == i, F.col("val"))), F.lit(0.0)) for i in range(3)]).alias("vec")
     )
-    g = gram(wide, 3)
-    rows = [(i, float(round(abs(g[i, j]), 4)), j) for i in range(3) for j in range(3)]
-    return spark.createDataFrame(rows, "dim long, product double, other long")
+    vec = lambda i: F.get(F.col("vec"), i)
+    cells = [F.struct(F.lit(i).alias("dim"), F.lit(j).alias("other"), (vec(i) * vec(j)).alias("p")) for i in range(3) for j in range(3)]
+    sums = wide.select(F.inline(F.array(*cells))).groupBy("dim", "other").agg(F.sum("p").alias("p"))
+    return sums.select(F.col("dim").cast("long"), F.round(F.abs("p"), 4).alias("product"), F.col("other").cast("long"))
 
 
 v.VIEWS["fx_hashed"] = (
@@ -79,11 +80,12 @@ def embed_text(spark, d):
 # --- label trees ------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n_labels, floor(log2(count(*) // 100 + 1))::INT AS depth FROM fx_labels")
+@query("SELECT count(*) AS n_labels, floor(log2(count(*) // 100 + 1))::INT AS depth, floor(log2(count(*) // 100 + 1))::INT + 1 AS deeper FROM fx_labels")
 def tree_depth(spark, d):
-    n = F.count("*")
-    depth = F.floor(F.log2(F.floor(n / 100) + 1)).cast("int")
-    return v.labels(spark, d).agg(n.alias("n_labels"), depth.alias("depth"))
+    labels = v.labels(spark, d)
+    n = labels.count()
+    depth, deeper = I.tree_depth(n), I.tree_depth(n, extra=1)
+    return labels.agg(F.count("*").alias("n_labels"), F.lit(depth).alias("depth"), F.lit(deeper).alias("deeper"))
 
 
 # sizes of balanced halves: the left one gets the smaller half
@@ -240,9 +242,9 @@ def training_rows(spark, d):
     )
 
 
-@query("SELECT row_id, code, round(val / sum(val) OVER (PARTITION BY row_id), 6) AS val FROM fx_own QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY val DESC, code) <= 1000")
+@query("SELECT row_id, code, round(val / sum(val) OVER (PARTITION BY row_id), 6) AS val FROM fx_own")
 def optimal_codes(spark, d):
-    return rounded(L.optimal_codes(v.y(spark, d), v.c(spark, d), 1000))
+    return rounded(L.optimal_codes(v.y(spark, d), v.c(spark, d)))
 
 
 @query(
@@ -359,17 +361,14 @@ def _ranked_candidates_sql(score: str) -> str:
 
 @query(_ranked_candidates_sql("score"))
 def predict_with_codes(spark, d):
-    candidates = M.expand_candidates(_top_clusters(spark, d), v.c(spark, d))
-    scored = rounded(M.score_pairs(v.x(spark, d), v.w(spark, d), candidates), "score")
-    return R.topk_per_row(scored, 10)
+    return L.predict_with_codes(v.x(spark, d), v.w(spark, d), v.c(spark, d), _top_clusters(spark, d), 10, digits=6)
 
 
 @query(
     "SELECT row_id, label_id, score, rank FROM (SELECT row_id, label_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, label_id) AS rank FROM fx_scored) WHERE rank <= 10"
 )
 def predict_with_labels(spark, d):
-    scored = rounded(M.score_pairs(v.x(spark, d), v.w(spark, d), v.pairs(spark, d)), "score")
-    return R.topk_per_row(scored, 10)
+    return L.predict_with_labels(v.x(spark, d), v.w(spark, d), v.pairs(spark, d), 10, digits=6)
 
 
 @query("SELECT row_id, label_id, score, parent AS parent_score FROM fx_candidate_scores")

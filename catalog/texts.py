@@ -234,7 +234,8 @@ def first_pages(spark, d):
 
 
 @query(
-    f"SELECT page_id, place, regexp_extract(link, {_quoted(P.LINK)}, 1) AS href, regexp_extract(link, {_quoted(P.LINK)}, 2) AS text "
+    f"SELECT page_id, place, regexp_extract(link, {_quoted(P.LINK)}, 1) || regexp_extract(link, {_quoted(P.LINK)}, 2) || "
+    f"regexp_extract(link, {_quoted(P.LINK)}, 3) AS href, regexp_replace(regexp_extract(link, {_quoted(P.LINK)}, 4), {_quoted(P.TAG)}, '', 'g') AS text "
     f"FROM (SELECT page_id, unnest(links) AS link, unnest(range(len(links))) AS place FROM "
     f"(SELECT page_id, regexp_extract_all(html, {_quoted(P.LINK)}) AS links FROM fx_first_pages))"
 )

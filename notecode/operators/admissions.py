@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecode.functions.text import join_codes
-from notecode.operators.skew import rank_in_groups, skew_join
+from notecode.operators.skew import skew_join
 
 # The known note categories.
 NOTE_CATEGORIES = (
@@ -29,8 +29,6 @@ NOTE_CATEGORIES = (
     "Social Work",
 )
 
-ROWS_PER_PART = 10_000  # most rows of one admission gathered into one value
-
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.na.drop(subset=list(columns) if columns else None)
@@ -59,83 +57,58 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def with_parts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_part: int = ROWS_PER_PART
-) -> tuple[DataFrame, bool]:
-    """Number the parts of each group so that no part has more than ``rows_per_part`` rows.
-
-    Also says whether any group needed a second part. Usually none does, and nothing is ranked.
-    """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    largest = sizes.agg(F.max("_rows")).first()[0] or 0
-    if largest <= rows_per_part:
-        return df.withColumn("part", F.lit(0)), False
-    ranked = rank_in_groups(df, keys, order, "_rank", largest=largest)
-    part = F.floor((F.col("_rank") - 1) / rows_per_part).cast("int")
-    return ranked.withColumn("part", part).drop("_rank"), True
-
-
 def _ordered(columns: Sequence[str], value: str) -> Column:
     rows = F.sort_array(F.collect_list(F.struct(*columns, value)))
     return F.transform(rows, lambda r: r[value])
 
 
-def concat_notes(notes: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Space-join texts and categories of each admission in row order: (hadm_id, part, text, category).
-
-    ``part`` is 0 for every admission of up to ``rows_per_part`` notes; longer ones continue in
-    further rows, so that no single value has to hold an unbounded group.
-    """
-    return _concat_notes(notes, rows_per_part)[0]
-
-
-def _concat_notes(notes: DataFrame, rows_per_part: int) -> tuple[DataFrame, bool]:
-    parts, split = with_parts(notes, ["hadm_id"], [F.col("row_id")], rows_per_part)
+def concat_notes(notes: DataFrame) -> DataFrame:
+    """Space-join texts and categories of each admission in row order: (hadm_id, text, category)."""
     rows = F.sort_array(F.collect_list(F.struct("row_id", "text", "category")))
-    joined = parts.groupBy("hadm_id", "part").agg(rows.alias("_rows"))
+    joined = notes.groupBy("hadm_id").agg(rows.alias("_rows"))
     return joined.select(
         "hadm_id",
-        "part",
         F.array_join(F.transform("_rows", lambda r: r["text"]), " ").alias("text"),
         F.array_join(F.transform("_rows", lambda r: r["category"]), " ").alias("category"),
-    ), split
+    )
 
 
-def codes_per_admission(codes: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Comma list of the codes of each admission by sequence number: (hadm_id, part, codes)."""
-    return _codes_per_admission(codes, rows_per_part)[0]
+def codes_per_admission(codes: DataFrame) -> DataFrame:
+    """Comma list of the codes of each admission by sequence number: (hadm_id, codes)."""
+    return codes.groupBy("hadm_id").agg(join_codes(_ordered(["seq_num"], "code")).alias("codes"))
 
 
-def _codes_per_admission(codes: DataFrame, rows_per_part: int) -> tuple[DataFrame, bool]:
-    parts, split = with_parts(codes, ["hadm_id"], [F.col("seq_num"), F.col("code")], rows_per_part)
-    listed = parts.groupBy("hadm_id", "part").agg(join_codes(_ordered(["seq_num"], "code")).alias("codes"))
-    return listed, split
+def _complete(chosen: DataFrame, other: DataFrame) -> DataFrame:
+    """Codes of the admissions that have codes of both kinds."""
+    return chosen.join(other.select("hadm_id").distinct(), "hadm_id", "left_semi")
 
 
-def build_admissions(
-    notes: DataFrame, diag: DataFrame, proc: DataFrame, which: str = "diag", rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
-    """Text and codes of the chosen kind per admission: (hadm_id, part, text, category, codes).
-
-    Only admissions with a note, a diagnosis and a procedure are kept, whichever kind is chosen.
-    When an admission has several parts, part i carries the i-th part of its text and of its codes.
-    """
+def _kinds(diag: DataFrame, proc: DataFrame, which: str) -> tuple[DataFrame, DataFrame]:
     if which not in ("diag", "proc"):
         raise ValueError(f"which must be 'diag' or 'proc', not {which!r}")
-    chosen, other = (diag, proc) if which == "diag" else (proc, diag)
-    both = chosen.join(other.select("hadm_id").distinct(), "hadm_id", "left_semi")
-    texts, texts_split = _concat_notes(notes, rows_per_part)
-    codes, codes_split = _codes_per_admission(both, rows_per_part)
-    if not (texts_split or codes_split):
-        return texts.join(codes, ["hadm_id", "part"])
-    complete = notes.select("hadm_id").distinct().join(both.select("hadm_id").distinct(), "hadm_id", "left_semi")
-    return texts.join(codes, ["hadm_id", "part"], "full").join(complete, "hadm_id", "left_semi")
+    return (diag, proc) if which == "diag" else (proc, diag)
+
+
+def build_admissions(notes: DataFrame, diag: DataFrame, proc: DataFrame, which: str = "diag") -> DataFrame:
+    """Text and codes of the chosen kind per admission: (hadm_id, text, category, codes).
+
+    Only admissions with a note, a diagnosis and a procedure are kept, whichever kind is chosen. An
+    admission is one record here and so must fit in memory; ``admission_codes`` and the notes
+    themselves are the long forms of the same data.
+    """
+    both = _complete(*_kinds(diag, proc, which))
+    return concat_notes(notes).join(codes_per_admission(both), "hadm_id")
+
+
+def admission_codes(notes: DataFrame, diag: DataFrame, proc: DataFrame, which: str = "diag") -> DataFrame:
+    """The codes of ``build_admissions`` as rows (hadm_id, code), nothing gathered."""
+    both = _complete(*_kinds(diag, proc, which))
+    return both.join(notes.select("hadm_id").distinct(), "hadm_id", "left_semi").select("hadm_id", "code").distinct()
 
 
-def map_sets(mapping: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Sorted set of targets of each source code: (src, part, targets)."""
-    parts, _ = with_parts(mapping.select("src", "tgt").distinct(), ["src"], [F.col("tgt")], rows_per_part)
-    return parts.groupBy("src", "part").agg(F.sort_array(F.collect_set("tgt")).alias("targets"))
+def map_sets(mapping: DataFrame) -> DataFrame:
+    """Sorted set of targets of each source code: (src, targets)."""
+    return mapping.groupBy("src").agg(F.sort_array(F.collect_set("tgt")).alias("targets"))
 
 
 def map_codes(coded: DataFrame, sets: DataFrame, how: str = "inner") -> DataFrame:
@@ -165,6 +138,12 @@ def label_matrix(coded: DataFrame, labels: DataFrame) -> DataFrame:
     Rows without a known code are simply absent here; the table of instances keeps them.
     """
     exploded = coded.select("row_id", F.explode(F.split("codes", ",")).alias("code")).distinct()
+    return labels_of_codes(exploded, labels)
+
+
+def labels_of_codes(codes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Binary label matrix (row_id, label_id) from rows (row_id, code)."""
+    exploded = codes.select("row_id", "code")
     return skew_join(exploded, labels.select("label_id", "code"), ["code"]).select("row_id", "label_id").distinct()
 
 

@@ -70,14 +70,16 @@ def hashed_tfidf(texts: DataFrame, width: int = 256) -> DataFrame:
     return normalize_rows(folded.groupBy("row_id", "col_id").agg(F.sum("val").alias("val")))
 
 
-def embed_text(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
+def embed_text(
+    texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, width: int = 256
+) -> DataFrame:
     """Embed the text of each label: (label_id, text) to (label_id, col_id, val), unit length.
 
     ``make_encoder`` is called once per task and returns a function from a list of texts to one
-    vector per text. Without one, hashed TF-IDF is used.
+    vector per text. Without one, TF-IDF hashed to ``width`` columns is used.
     """
     if make_encoder is None:
-        rows = hashed_tfidf(texts.withColumnRenamed("label_id", "row_id"))
+        rows = hashed_tfidf(texts.withColumnRenamed("label_id", "row_id"), width)
         return rows.withColumnRenamed("row_id", "label_id")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notecode.functions.text import ngrams, tokenize_words
@@ -44,16 +45,18 @@ def fit_tfidf(train: DataFrame, longest: int = 1, min_df: int = 1) -> DataFrame:
 
 
 def normalize_rows(x: DataFrame, norm: str = "l2", row: str = "row_id") -> DataFrame:
-    """Scale each row to unit length (l2) or unit absolute sum (l1); rows of zeros are unchanged."""
+    """Scale each row to unit length (l2) or unit absolute sum (l1); rows of zeros are unchanged.
+
+    A window sums up each row, so the input is computed and shuffled once.
+    """
     if norm == "l2":
-        size = F.sqrt(F.sum(F.col("val") * F.col("val")))
+        size = F.sqrt(F.sum(F.col("val") * F.col("val")).over(W.partitionBy(row)))
     elif norm == "l1":
-        size = F.sum(F.abs("val"))
+        size = F.sum(F.abs("val")).over(W.partitionBy(row))
     else:
         raise ValueError(f"norm must be 'l1' or 'l2', not {norm!r}")
-    joined = skew_join(x, x.groupBy(row).agg(size.alias("_norm")), [row])
     scaled = F.coalesce(F.col("val") / F.nullif(F.col("_norm"), F.lit(0.0)), F.col("val"))
-    return joined.withColumn("val", scaled).select(*x.columns)
+    return x.withColumn("_norm", size).withColumn("val", scaled).select(*x.columns)
 
 
 def hstack(left: DataFrame, right: DataFrame, offset: int) -> DataFrame:

@@ -24,9 +24,9 @@ from notecode.session import checkpointed
 SCORE_DIGITS = 6  # scores are rounded before they are ranked, so that summation order cannot matter
 
 
-def tree_depth(n_labels: int, cluster_size: int = 100) -> int:
-    """Depth that leaves about ``cluster_size`` labels per cluster."""
-    return int(math.log2(n_labels // cluster_size + 1))
+def tree_depth(n_labels: int, cluster_size: int = 100, extra: int = 0) -> int:
+    """Depth that leaves about ``cluster_size`` labels per cluster, and ``extra`` levels below that."""
+    return int(math.log2(n_labels // cluster_size + 1)) + extra
 
 
 def labels_of(features: DataFrame) -> DataFrame:

@@ -367,7 +367,9 @@ class Model:
     """A chain of levels, root first: weights (level, label_id, col_id, val), clusters (level, label_id, code).
 
     The cluster codes of a level are the labels of the level above it; the root level of a full
-    chain has no clusters. ``bias`` is the value of the constant column ``bias_col``; 0 means none.
+    chain has no clusters, so its labels are listed in ``roots`` (label_id): a label whose weights all
+    fell under the threshold is still there. ``bias`` is the value of the constant column ``bias_col``;
+    0 means none.
     """
 
     weights: DataFrame
@@ -375,6 +377,15 @@ class Model:
     depth: int
     bias: float
     bias_col: int | str | None = None
+    roots: DataFrame | None = None
+
+    def labels(self, d: int) -> DataFrame:
+        """All labels of a level (label_id), with weights or without."""
+        w, c = self.level(d)
+        listed = [w.select("label_id"), c.select("label_id")]
+        if d == 0 and self.roots is not None:
+            listed.append(self.roots.select("label_id"))
+        return reduce(DataFrame.unionByName, listed).distinct()
 
     def level(self, d: int) -> tuple[DataFrame, DataFrame]:
         at = F.col("level") == d
@@ -412,7 +423,7 @@ def train_model(
         z = active_clusters(y, codes, z_pred, scheme)
         levels.append((train_linear(x, y, codes, z, fit), codes))
     if mode == "ranker":
-        return _chain(levels, bias, bias_col)
+        return _chain(levels, None, bias, bias_col)
     cur_labels = checkpointed(codes.select(F.col("code").alias("label_id")).distinct())
     cur_y = checkpointed(instance_clusters(y, codes).select("row_id", F.col("code").alias("label_id")))
     n = (cur_labels.agg(F.max("label_id")).first()[0] or 0) + 1
@@ -422,7 +433,7 @@ def train_model(
             everywhere = cur_labels.select("label_id", F.lit(0).cast(code_type).alias("code"))
             z = instances.select("row_id", F.lit(0).cast(code_type).alias("code"), F.lit(1.0).alias("val"))
             levels.append((train_linear(x, cur_y, everywhere, z, fit), None))
-            return _chain(levels, bias, bias_col)
+            return _chain(levels, cur_labels, bias, bias_col)
         merged = consecutive_merge(cur_labels, splits).select("label_id", F.col("code").cast(code_type).alias("code"))
         levels.append((train_linear(x, cur_y, merged, active_clusters(cur_y, merged), fit), merged))
         above = instance_clusters(cur_y, merged)
@@ -431,7 +442,9 @@ def train_model(
         n = -(-n // splits)
 
 
-def _chain(levels: Sequence[tuple[DataFrame, DataFrame | None]], bias: float, bias_col: int | str | None) -> Model:
+def _chain(
+    levels: Sequence[tuple[DataFrame, DataFrame | None]], roots: DataFrame | None, bias: float, bias_col: int | str | None
+) -> Model:
     ordered = list(reversed(levels))
     weights = [w.select(F.lit(d).alias("level"), "label_id", "col_id", "val") for d, (w, _) in enumerate(ordered)]
     clusters = [c.select(F.lit(d).alias("level"), "label_id", "code") for d, (_, c) in enumerate(ordered) if c is not None]
@@ -441,14 +454,13 @@ def _chain(levels: Sequence[tuple[DataFrame, DataFrame | None]], bias: float, bi
     else:
         label = all_weights.schema["label_id"].dataType
         all_clusters = all_weights.limit(0).select("level", "label_id", F.lit(0).cast(label).alias("code"))
-    return Model(all_weights, checkpointed(all_clusters), len(ordered), bias, bias_col)
+    return Model(all_weights, checkpointed(all_clusters), len(ordered), bias, bias_col, roots)
 
 
 def merge_models(upper: Model, lower: Model) -> Model:
     """Put the levels of ``lower`` below those of ``upper``, whose last labels must be its clusters."""
-    last_w, _ = upper.level(upper.depth - 1)
     first_c = lower.level(0)[1]
-    n_labels = last_w.select("label_id").distinct().count()
+    n_labels = upper.labels(upper.depth - 1).count()
     n_codes = first_c.select("code").distinct().count()
     if n_labels != n_codes:
         raise ValueError(f"{n_labels} labels of the upper model do not match {n_codes} clusters of the lower one")
@@ -459,6 +471,7 @@ def merge_models(upper: Model, lower: Model) -> Model:
         upper.depth + lower.depth,
         lower.bias,
         lower.bias_col,
+        upper.roots,
     )
 
 
@@ -477,10 +490,13 @@ def score_blocks(x: DataFrame, w: DataFrame, c: DataFrame, z: DataFrame, block_e
     active = z.select("row_id", "code", F.col("val").alias("parent_score")).join(lengths, "row_id", "left")
     weighted = c.select("label_id", "code").join(w, "label_id", "left").select("code", "label_id", "col_id", "val")
     sizes = active.groupBy("code").agg(F.coalesce(F.sum("_entries"), F.lit(0)).alias("_size"), F.count("*").alias("_rows"))
-    heights = weighted.groupBy("code").agg(F.count("*").alias("_weights"))
+    per_column = weighted.groupBy("code", "col_id").agg(F.count("*").alias("_n"))
+    heights = per_column.groupBy("code").agg(F.sum("_n").alias("_weights"), F.count("*").alias("_columns"))
     widths = c.groupBy("code").agg(F.count("*").alias("_labels"))
     cuts = sizes.join(heights, "code").join(widths, "code")
-    label_blocks = F.floor(F.col("_weights") / (4 * block_entries)) + 1
+    # a block's weights are kept as columns × labels: the columns of a cluster are at most its weights
+    cells = F.least(F.col("_weights"), F.col("_columns")) * F.col("_labels")
+    label_blocks = F.floor(F.greatest(F.col("_weights") / (4 * block_entries), cells / BLOCK_CELLS)) + 1
     scores = F.col("_rows") * F.col("_labels") / label_blocks
     blocks = cuts.select(
         "code",
@@ -552,20 +568,24 @@ def predict_beam(
     normalised: bool = False,
     blocks: bool = False,
     digits: int | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Walk down the chain, keeping the best ``beam`` clusters per instance, then the best ``k`` labels.
 
     ``codes`` (row_id, code, val) are cluster scores from elsewhere for the first level of the chain.
     Returns (row_id, label_id, score, rank). ``digits`` rounds scores before they are ranked.
+    ``max_depth`` ends the walk after so many levels, with the clusters reached there as labels.
     """
+    depth = model.depth if max_depth is None else min(model.depth, max_depth)
+    if depth < 1:
+        raise ValueError("max_depth must be at least 1")
     processor = post_processor(post)
     z = codes
     ranked = None
-    for d in range(model.depth):
+    for d in range(depth):
         w, c = model.level(d)
         if z is None:
-            labels = w.select("label_id").distinct()
-            scored = score_all(x, w, instances, labels).withColumn("score", processor.transform(F.col("score")))
+            scored = score_all(x, w, instances, model.labels(d)).withColumn("score", processor.transform(F.col("score")))
         else:
             if blocks:
                 pairs = score_blocks(x, w, c, z)
@@ -576,7 +596,7 @@ def predict_beam(
             scored = pairs.select("row_id", "label_id", combined.alias("score"))
         if digits is not None:
             scored = scored.withColumn("score", F.round("score", digits))
-        ranked = topk_per_row(scored, k if d == model.depth - 1 else beam)
+        ranked = topk_per_row(scored, k if d == depth - 1 else beam)
         z = ranked.select("row_id", F.col("label_id").alias("code"), F.col("score").alias("val"))
     return l1_prediction(ranked) if normalised else ranked
 
@@ -594,14 +614,19 @@ def l1_prediction(pred: DataFrame) -> DataFrame:
     return scaled.withColumnRenamed("val", "score")
 
 
-def predict_with_labels(x: DataFrame, w: DataFrame, pairs: DataFrame, k: int | None = None) -> DataFrame:
-    """Score and rank the listed (row_id, label_id) pairs."""
-    return topk_per_row(score_pairs(x, w, pairs), k)
+def predict_with_labels(
+    x: DataFrame, w: DataFrame, pairs: DataFrame, k: int | None = None, digits: int | None = None
+) -> DataFrame:
+    """Score and rank the listed (row_id, label_id) pairs; ``digits`` rounds scores before they are ranked."""
+    scored = score_pairs(x, w, pairs)
+    return topk_per_row(scored if digits is None else scored.withColumn("score", F.round("score", digits)), k)
 
 
-def predict_with_codes(x: DataFrame, w: DataFrame, c: DataFrame, z: DataFrame, k: int | None = None) -> DataFrame:
+def predict_with_codes(
+    x: DataFrame, w: DataFrame, c: DataFrame, z: DataFrame, k: int | None = None, digits: int | None = None
+) -> DataFrame:
     """Score and rank the labels of each instance's clusters; the cluster scores do not matter."""
-    return predict_with_labels(x, w, expand_candidates(z, c), k)
+    return predict_with_labels(x, w, expand_candidates(z, c), k, digits)
 
 
 # --- counting model --------------------------------------------------------------------------

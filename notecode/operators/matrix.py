@@ -6,15 +6,14 @@ the full shape take the table of instances or labels as well.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notecode.operators.skew import skew_join
+from notecode.operators.skew import hottest, skew_join
 
-MAX_DENSE_LABELS = 1_000  # most labels scored for every instance
+GRID_PIECES = 64  # copies of the label list that instances are dealt to when all labels are scored
 
 
 def append_bias(x: DataFrame, instances: DataFrame, value: float, col_id: Column) -> DataFrame:
@@ -107,20 +106,19 @@ def score_pairs(x: DataFrame, w: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.join(scores, ["row_id", "label_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def score_all(
-    x: DataFrame, w: DataFrame, instances: DataFrame, labels: DataFrame, max_labels: int = MAX_DENSE_LABELS
-) -> DataFrame:
+def score_all(x: DataFrame, w: DataFrame, instances: DataFrame, labels: DataFrame) -> DataFrame:
     """``X·W`` for every instance and every label, zeros included: (row_id, label_id, score).
 
-    Meant for the few labels at the root of a label tree, and refused beyond ``max_labels``: there,
-    score candidates instead.
+    The result is as large as instances times labels: meant for the root of a label tree. Instances
+    are dealt by hash to copies of the label list, so neither list passes through one task or the
+    driver; columns that very many weights share, such as a bias, are salted.
     """
-    listed = [r[0] for r in labels.select("label_id").distinct().orderBy("label_id").limit(max_labels + 1).collect()]
-    if len(listed) > max_labels:
-        raise ValueError(f"more than {max_labels} labels: expand candidates and use score_pairs")
-    sums = matmul(x, w).withColumnRenamed("val", "score")
-    grid = instances.select("row_id", F.explode(F.array(*[F.lit(v) for v in listed])).alias("label_id"))
-    grid = grid.withColumn("label_id", F.col("label_id").cast(labels.schema["label_id"].dataType))
+    hot = hottest(w.groupBy("col_id").agg(F.count("*").alias("_n")), ["col_id"], "_n")
+    sums = matmul(x, w, hot=hot).withColumnRenamed("val", "score")
+    pieces = F.sequence(F.lit(0), F.lit(GRID_PIECES - 1))
+    dealt = instances.select("row_id", F.pmod(F.xxhash64("row_id"), F.lit(GRID_PIECES)).cast("int").alias("_piece"))
+    listed = labels.select("label_id").distinct().select("label_id", F.explode(pieces).alias("_piece"))
+    grid = dealt.join(listed, "_piece").drop("_piece")
     return grid.join(sums, ["row_id", "label_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -157,7 +155,3 @@ def matrix_mean(x: DataFrame) -> DataFrame:
 
 def subtract_mean(x: DataFrame) -> DataFrame:
     return x.withColumn("val", F.col("val") - matrix_mean(x).scalar())
-
-
-def sum_by(x: DataFrame, columns: Sequence[str], value: str = "val") -> DataFrame:
-    return x.groupBy(*columns).agg(F.sum(value).alias(value))

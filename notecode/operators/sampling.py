@@ -35,8 +35,13 @@ def split_train_test(
 
 
 def subsample(df: DataFrame, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """``n`` random rows: those with the smallest hash of the key."""
-    return df.orderBy(seeded_hash(F.col(key), seed), key).limit(n)
+    """``n`` random rows: those with the smallest hash of the key, which must be unique.
+
+    Rows are numbered in ranges of the hash, so no task sorts or holds all ``n``.
+    """
+    keyed = df.select(key, seeded_hash(F.col(key), seed).alias("_hash"))
+    numbered = number_rows(keyed, [F.col("_hash"), F.col(key)], "_place")
+    return df.join(numbered.filter(F.col("_place") < n).select(key), key, "left_semi")
 
 
 def complement(df: DataFrame, subset: DataFrame, key: str = "row_id") -> DataFrame:

@@ -33,7 +33,7 @@ def prepare_stage(
     spark = notes.sparkSession
     chosen = A.first_by_text(A.filter_category(notes, config.category, config.categories))
     built = A.build_admissions(chosen, diag, proc, config.kind)
-    built = built.select(F.col("hadm_id").alias("row_id"), "part", single_line(F.col("text")).alias("text"), "codes")
+    built = built.select(F.col("hadm_id").alias("row_id"), single_line(F.col("text")).alias("text"), "codes")
     built.write.parquet(f"{folder}/admissions")
     rows = spark.read.parquet(f"{folder}/admissions")
     ids = rows.select("row_id").distinct()

@@ -129,14 +129,18 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return stored.withColumn("val", F.col("val").cast("double"))
 
 
-def write_dataset(x: DataFrame, y: DataFrame, instances: DataFrame, label_map: DataFrame, folder: str) -> None:
-    """Store texts, features, label matrix and label map of one split, after checking their rows.
+def write_dataset(
+    x: DataFrame, y: DataFrame, instances: DataFrame, label_map: DataFrame, folder: str, texts: DataFrame | None = None
+) -> None:
+    """Store texts (row_id, text), if given, features, label matrix and label map of one split, after checking their rows.
 
     Every row of X and Y must belong to an instance.
     """
     for name, matrix in (("X", x), ("Y", y)):
         if not matrix.join(instances.select("row_id"), "row_id", "left_anti").isEmpty():
             raise ValueError(f"{name} has rows that are not instances")
+    if texts is not None:
+        texts.select("row_id", "text").write.parquet(f"{folder}/texts")
     x.write.parquet(f"{folder}/X")
     y.write.parquet(f"{folder}/Y")
     instances.write.parquet(f"{folder}/instances")
@@ -154,19 +158,27 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", **options) -> N
     df.write.options(**options).format(kind).save(path)
 
 
-def save_model(model: Model, folder: str) -> None:
+def save_model(model: Model, folder: str, nr_features: int | None = None) -> None:
+    """Store weights, clusters, root labels and one row of parameters.
+
+    Labels and clusters are counted from their own lists. ``nr_features`` is the width of the features;
+    without it only the columns that kept a weight are counted.
+    """
     model.weights.write.parquet(f"{folder}/weights")
     model.clusters.write.parquet(f"{folder}/clusters")
-    bottom_w, bottom_c = model.level(model.depth - 1)
+    if model.roots is not None:
+        model.roots.write.parquet(f"{folder}/roots")
+    bottom_c = model.level(model.depth - 1)[1]
     params = {
         "depth": model.depth,
-        "nr_features": model.weights.select("col_id").distinct().count(),
-        "nr_labels": bottom_w.select("label_id").distinct().count(),
+        "nr_features": nr_features if nr_features is not None else model.weights.select("col_id").distinct().count(),
+        "nr_labels": model.labels(model.depth - 1).count(),
         "nr_codes": bottom_c.select("code").distinct().count(),
         "bias": model.bias,
         "bias_col": json.dumps(model.bias_col),
+        "has_roots": model.roots is not None,
     }
-    kinds = "depth int, nr_features long, nr_labels long, nr_codes long, bias double, bias_col string"
+    kinds = "depth int, nr_features long, nr_labels long, nr_codes long, bias double, bias_col string, has_roots boolean"
     spark = model.weights.sparkSession
     spark.createDataFrame([tuple(params.values())], kinds).write.json(f"{folder}/params")
 
@@ -179,6 +191,7 @@ def load_model(spark: SparkSession, folder: str) -> Model:
         int(params["depth"]),
         float(params["bias"]),
         json.loads(params["bias_col"]),
+        spark.read.parquet(f"{folder}/roots") if params["has_roots"] else None,
     )
 
 

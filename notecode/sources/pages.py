@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINK = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)'
+# an href in double quotes, in single quotes or bare, and everything up to the end of the link
+LINK = r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+TAG = r"(?s)<[^>]*>"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
 
@@ -22,12 +24,12 @@ def first_pages(pages: DataFrame) -> DataFrame:
     return keyed.join(firsts.select("page_id"), "page_id", "left_semi")
 
 
-def page_links(pages: DataFrame, pattern: str = LINK) -> DataFrame:
-    """Links of each page in order: (page_id, place, href, text). ``pattern`` has groups for both."""
-    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("place", "link"))
+def page_links(pages: DataFrame) -> DataFrame:
+    """Links of each page in order: (page_id, place, href, text); tags inside the text are stripped."""
+    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(0))).alias("place", "link"))
     return links.select(
         "page_id",
         "place",
-        F.regexp_extract("link", pattern, 1).alias("href"),
-        F.regexp_extract("link", pattern, 2).alias("text"),
+        F.concat(*[F.regexp_extract("link", LINK, k) for k in (1, 2, 3)]).alias("href"),
+        F.regexp_replace(F.regexp_extract("link", LINK, 4), TAG, "").alias("text"),
     )

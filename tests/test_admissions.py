@@ -39,19 +39,12 @@ def test_category_is_trimmed_and_checked(spark, rows):
 
 def test_admissions_need_note_diagnosis_and_procedure(notes, diag, proc, rows):
     built = A.build_admissions(notes, diag, proc)
-    assert rows(built, "hadm_id", "part", "text", "codes") == [(1, 0, "same d e", "x,y,w"), (2, 0, "same b", "x")]
+    assert rows(built, "hadm_id", "text", "codes") == [(1, "same d e", "x,y,w"), (2, "same b", "x")]
+    long = A.admission_codes(notes, diag, proc)
+    assert rows(long) == [(1, "w"), (1, "x"), (1, "y"), (2, "x")]
     assert rows(A.build_admissions(notes, diag, proc, "proc"), "hadm_id", "codes") == [(1, "p"), (2, "q")]
 
 
-def test_large_admissions_continue_in_parts(notes, diag, proc, rows):
-    built = A.build_admissions(notes, diag, proc, rows_per_part=2)
-    assert rows(built, "hadm_id", "part", "text", "codes") == [
-        (1, 0, "same d", "x,y"),
-        (1, 1, "e", "w"),
-        (2, 0, "same b", "x"),
-    ]
-
-
 def test_map_codes_inner_and_left(spark, rows):
     mapping = spark.createDataFrame([("a", "t2"), ("a", "t1"), ("b", "t1"), ("a", "t1")], "src string, tgt string")
     coded = spark.createDataFrame([(1, "a", "A"), (2, "zz", "Z")], "row_id long, code string, long_title string")
@@ -59,11 +52,7 @@ def test_map_codes_inner_and_left(spark, rows):
     assert rows(mapped, "row_id", "targets", "long_title_source") == [(1, ["t1", "t2"], "A")]
     assert A.map_codes(coded, A.map_sets(mapping), "left").count() == 2
     assert rows(A.mapping_coverage(coded, mapping)) == [(2, 1, 2, 1)]
-    assert rows(A.map_sets(mapping, rows_per_part=1), "src", "part", "targets") == [
-        ("a", 0, ["t1"]),
-        ("a", 1, ["t2"]),
-        ("b", 0, ["t1"]),
-    ]
+    assert rows(A.map_sets(mapping)) == [("a", ["t1", "t2"]), ("b", ["t1"])]
 
 
 def test_label_matrix_ignores_unknown_codes_and_repeats(spark, rows):

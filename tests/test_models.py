@@ -63,14 +63,29 @@ def test_empty_instance_gets_only_the_bias(spark, rows):
     assert rows(biased) == [(1, 0, 2.0), (1, 9, 0.5), (2, 9, 0.5)]
 
 
-def test_score_all_refuses_many_labels(spark, problem):
+def test_score_all_takes_any_number_of_labels(spark, problem):
     x = long(spark, problem[0])
     w = long(spark, problem[1].T[:, :12], "label_id", "col_id")
     instances = spark.range(40).withColumnRenamed("id", "row_id")
     labels = spark.range(10).withColumnRenamed("id", "label_id")
     assert M.score_all(x, w, instances, labels).count() == 400
-    with pytest.raises(ValueError):
-        M.score_all(x, w, instances, labels, max_labels=9)
+    many = spark.range(1500).withColumnRenamed("id", "label_id")
+    assert M.score_all(x, w, instances, many).count() == 60_000
+
+
+def test_clusters_without_weights_are_predicted(spark):
+    """A root label whose weights all fell under the threshold keeps its place in the beam."""
+    x = spark.createDataFrame([(1, 0, 1.0)], "row_id long, col_id long, val double")
+    weights = spark.createDataFrame([(0, 0, 0, 2.0), (1, 10, 0, 1.0)], "level int, label_id long, col_id long, val double")
+    clusters = spark.createDataFrame([(1, 10, 0), (1, 11, 1)], "level int, label_id long, code long")
+    roots = spark.createDataFrame([(0,), (1,)], "label_id long")
+    model = L.Model(weights, clusters, 2, 0.0, roots=roots)
+    instances = spark.createDataFrame([(1,)], "row_id long")
+    for blocks in (False, True):
+        found = L.predict_beam(x, model, instances, blocks=blocks)
+        assert sorted(r["label_id"] for r in found.collect()) == [10, 11]
+    top = L.predict_beam(x, model, instances, max_depth=1)
+    assert sorted(r["label_id"] for r in top.collect()) == [0, 1]
 
 
 def test_zero_cluster_score_keeps_its_labels(spark, rows):

@@ -68,6 +68,9 @@ def test_page_links_and_first_pages(spark, rows):
     )
     assert rows(pages.first_pages(df), "page_id", "page_key") == [(1, "/a?p=1"), (3, "?")]
     assert rows(pages.page_links(pages.first_pages(df))) == [(1, 0, "/x", "one"), (1, 1, "/y?z=1", "two")]
+    odd = "<A id=k HREF='/q'><b>t</b> u</A> <a href=/bare title=x>v\nw</a> <abbr href='n'>z</abbr>"
+    more = spark.createDataFrame([(7, "http://h", odd)], "page_id long, url string, html string")
+    assert rows(pages.page_links(more)) == [(7, 0, "/q", "t u"), (7, 1, "/bare", "v\nw")]
 
 
 def test_config_is_checked():
