@@ -20,6 +20,14 @@ from notecode.session import materialised
 ORACLE_SQL = None
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents written in one of the learned languages.
 
@@ -38,13 +46,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are similar to an earlier line; n_chars is counted anew."""
     found = lines.removed_lines(docs.select("doc_id", "text")).filter(F.size("removed") > 0)
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed")).dropDuplicates(["_doc"])
-    joined = docs.join(found, F.col("doc_id") == F.col("_doc"), "left")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(lines.without_lines(F.col("text"), F.col("_removed")))
+    doc, gone = _unused(docs, "_doc"), _unused(docs, "_removed")
+    found = found.select(F.col("doc_id").alias(doc), F.col("removed").alias(gone)).dropDuplicates([doc])
+    joined = docs.join(found, F.col("doc_id") == F.col(doc), "left")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(lines.without_lines(F.col("text"), F.col(gone)))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        joined = joined.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return joined.select(*docs.columns)
 
 
@@ -62,11 +71,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: a document's row as often as the mix holds it, numbered by ``copy`` from 0."""
+    """The training mix: a document's row as often as the mix holds it, numbered by ``copy`` from 0.
+
+    Rows repeated with their id are each there as often as the one of them that is taken most.
+    """
     found = mixing.mix_sources(docs.select("doc_id", "text", "source")).filter("copies > 0")
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("copies").alias("_copies")).dropDuplicates(["_doc"])
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    copy = F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)).alias("copy")
+    doc, copies = _unused(docs, "_doc"), _unused(docs, "_copies")
+    found = found.groupBy(F.col("doc_id").alias(doc)).agg(F.max("copies").alias(copies))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)))
+    copy = F.explode(F.sequence(F.lit(0), F.col(copies).cast("int") - 1)).alias("copy")
     return joined.select(*[c for c in docs.columns if c != "copy"], copy)
 
 
