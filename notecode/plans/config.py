@@ -27,12 +27,15 @@ class RunConfig:
     indexer: str = "skmeans"
     cluster_size: int = 100
     index_iterations: int = 20
+    index_seed: int = 0
+    extra_depth: int = 1
     mode: str = "full-model"
     shallow: bool = True
     scheme: int = 1
     bias: float = 1.0
     fit: Fit = field(default_factory=Fit)
     beam: int = 10
+    max_depth: int | None = None
     top_k: int = 10
     post: str = "l3-hinge"
     depth: int = 10
@@ -44,5 +47,7 @@ class RunConfig:
             raise ValueError("kind must be 'diag' or 'proc'")
         if self.version == "10" and self.kind != "diag":
             raise ValueError("version 10 has diagnoses only")
+        if self.sequence != "all" and int(self.sequence) < 1:
+            raise ValueError("sequence must be 'all' or a sequence number")
         if self.category not in self.categories:
             raise ValueError(f"unknown note category {self.category!r}")

@@ -20,6 +20,7 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",  # very long texts make small batches
         "spark.sql.session.timeZone": "UTC",
     }
     for key, value in settings.items():

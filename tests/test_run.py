@@ -81,8 +81,9 @@ def test_config_is_checked():
         Fit("NEWTON")
 
 
-def test_whole_run(spark, tmp_path):
-    """Texts name their codes, so a trained model must find them again."""
+@pytest.mark.parametrize("variant", ["9", "10", "ranker"])
+def test_whole_run(spark, tmp_path, variant):
+    """Texts name their codes, so a trained model must find them again, under the codes they map to."""
     words = ["alpha", "bravo", "delta", "gamma", "kappa", "sigma"]
     note_rows, code_rows, proc_rows = [], [], []
     for i in range(120):
@@ -93,14 +94,30 @@ def test_whole_run(spark, tmp_path):
     notes = spark.createDataFrame(note_rows, "row_id long, hadm_id long, category string, text string")
     diag = spark.createDataFrame(code_rows, "hadm_id long, seq_num int, code string")
     proc = spark.createDataFrame(proc_rows, "hadm_id long, seq_num int, code string")
+    mapping = spark.createDataFrame([(f"c{j}", f"t{j}", words[j]) for j in range(6)], "src string, tgt string, title string")
     labels = spark.createDataFrame([(j, f"c{j}", words[j]) for j in range(6)], "label_id long, code string, label_text string")
-    config = RunConfig(category="Echo", cluster_size=2, index_iterations=3, fit=Fit(threshold=0.01, max_iter=50), top_k=5, depth=5)
+    config = RunConfig(
+        version="10" if variant == "10" else "9", category="Echo", cluster_size=2, index_iterations=3, extra_depth=0,
+        mode="ranker" if variant == "ranker" else "full-model", scheme=2 if variant == "ranker" else 1,
+        label_features="text" if variant == "10" else "pifa", fit=Fit(threshold=0.01, max_iter=50), top_k=5, depth=5,
+    )
+    if variant == "10":
+        labels = stages.label_stage(None, None, config, mapping)
     folder = str(tmp_path / "run")
     cleaned = stages.clean_stage(notes, folder)
-    stages.prepare_stage(cleaned, diag, proc, labels, config, folder)
-    model = stages.train_stage(spark, config, folder)
-    assert model.depth == 2
-    stages.predict_stage(spark, config, folder)
+    stages.prepare_stage(cleaned, diag, proc, labels, config, folder, mapping)
+    given = None
+    if variant == "ranker":  # an external matcher that names every cluster
+        given = notes.select(F.col("hadm_id").alias("row_id"), F.explode(F.array(*[F.lit(c).cast("long") for c in range(2)])).alias("code"))
+        given = given.withColumn("val", F.lit(1.0))
+        with pytest.raises(ValueError):
+            stages.predict_stage(spark, config, folder) if stages.train_stage(spark, config, folder, given) else None
+    else:
+        model = stages.train_stage(spark, config, folder)
+        assert model.depth == 2
+    stages.predict_stage(spark, config, folder, given)
+    data = files.read_dataset(spark, f"{folder}/test")
+    assert spark.read.parquet(f"{folder}/test/texts").count() == data["instances"].count()
     metrics = {r["k"]: r for r in stages.evaluate_stage(spark, config, folder).collect()}
     assert metrics[1]["precision"] > 0.8
     assert metrics[5]["recall"] > 0.8
