@@ -23,8 +23,6 @@ from notecode.operators.matrix import (
     elementwise_add,
     expand_candidates,
     matmul,
-    matvec,
-    rmatvec,
     score_all,
     score_pairs,
 )
@@ -200,6 +198,7 @@ def train_linear(
         return weights
     big_c = c.join(large.select("code"), "code", "left_semi")
     rows = training_rows(y, big_c, z.join(large.select("code"), "code", "left_semi"))
+    rows = rows.join(big_c.select("label_id", "code"), "label_id")
     return weights.unionByName(train_distributed(x, rows, fit))
 
 
@@ -227,53 +226,83 @@ def _train_blocks(x: DataFrame, y: DataFrame, c: DataFrame, active: DataFrame, s
 
 def spectral_bound(x: DataFrame, rounds: int = BOUND_ROUNDS) -> float:
     """An upper bound of the largest eigenvalue of ``XᵀX`` (of the absolute values, by row-sum ratios)."""
-    size = x.select("row_id", "col_id", F.abs("val").alias("val")).filter(F.col("val") > 0)
-    v = size.select("col_id").distinct().withColumn("val", F.lit(1.0))
-    bound = 0.0
-    for _ in range(rounds):
-        image = checkpointed(rmatvec(size, matvec(size, v)))
-        ratio = image.withColumnRenamed("val", "_image").join(v, "col_id")
-        bound, top = ratio.agg(F.max(F.col("_image") / F.col("val")), F.max("_image")).first()
-        if not top:
-            return 0.0
-        v = image.select("col_id", F.greatest(F.col("val") / F.lit(top), F.lit(1e-12)).alias("val"))
-    return float(bound)
-
+    found = cluster_bounds(x.withColumn("code", F.lit(0)), rounds).first()
+    return float(found["bound"]) if found else 0.0
 
-def train_distributed(x: DataFrame, rows: DataFrame, fit: Fit = Fit(), check_every: int = 5) -> DataFrame:
-    """The same objectives as joins and sums over all labels at once: no task holds a cluster.
 
-    ``rows`` are training pairs (label_id, row_id, target). Labels whose step has become small
-    relative to their first step leave the iteration.
+def cluster_bounds(x: DataFrame, rounds: int = BOUND_ROUNDS) -> DataFrame:
+    """That bound for the rows of each cluster: (code, row_id, col_id, val) to (code, bound)."""
+    size = checkpointed(x.select("code", "row_id", "col_id", F.abs("val").alias("val")))
+    v = size.select("code", "col_id").distinct().withColumn("v", F.lit(1.0))
+    for _ in range(rounds):
+        u = size.join(v, ["code", "col_id"]).groupBy("code", "row_id").agg(F.sum(F.col("val") * F.col("v")).alias("u"))
+        image = size.join(u, ["code", "row_id"]).groupBy("code", "col_id").agg(F.sum(F.col("val") * F.col("u")).alias("image"))
+        image = checkpointed(image.join(v, ["code", "col_id"]))
+        tops = image.groupBy("code").agg(F.max("image").alias("top"), F.max(F.col("image") / F.col("v")).alias("bound"))
+        tops = checkpointed(tops)
+        raised = F.greatest(F.col("image"), F.lit(1e-12) * F.greatest(F.col("top"), F.lit(1e-300)))
+        v = image.join(tops, "code").select("code", "col_id", (raised / F.greatest("top", F.lit(1e-300))).alias("v"))
+    return tops.select("code", "bound")
+
+
+def train_distributed(x: DataFrame, rows: DataFrame, fit: Fit = Fit()) -> DataFrame:
+    """The same iteration as joins and sums over all labels at once: no task holds a cluster.
+
+    ``rows`` are training pairs (label_id, row_id, target) and the cluster ``code`` of the label, if there
+    is more than one cluster. Each cluster has its own step, restarts the momentum of a label as the
+    fit of a block does, and leaves when all its labels have stopped moving, so the weights do not
+    depend on which of the two ways a cluster takes.
     """
-    rows = checkpointed(rows)
-    used = x.join(rows.select("row_id").distinct(), "row_id", "left_semi")
-    bound = spectral_bound(used)
+    if "code" not in rows.columns:
+        rows = rows.withColumn("code", F.lit(0))
+    rows = rows.join(x.select("row_id").distinct(), "row_id", "left_semi")
+    rows = checkpointed(rows.select("code", "label_id", "row_id", "target"))
+    members = rows.select("code", "row_id").distinct()
+    used = x.join(members.select("row_id").distinct(), "row_id", "left_semi")
+    bounds = cluster_bounds(skew_join(used, members, ["row_id"]))
+    largest = max(fit.c_pos, fit.c_neg)
     if fit.solver == "L2R_L1LOSS_SVC_DUAL":
-        return sparsify(_dual_descent(used, rows, bound, fit), fit.threshold)
-    return sparsify(_primal_descent(used, rows, bound, fit, check_every), fit.threshold)
+        size = F.col("bound")
+    else:
+        decay = 0.0 if fit.solver == "L1R_L2LOSS_SVC" else 1.0
+        size = F.lit((0.25 if fit.solver == "L2R_LR_DUAL" else 2.0) * largest) * F.col("bound") + F.lit(decay)
+    steps = bounds.select("code", (F.lit(1.0) / F.greatest(size, F.lit(1e-12))).alias("step"))
+    labels = checkpointed(rows.select("code", "label_id").distinct().join(steps, "code"))
+    descent = _dual_descent if fit.solver == "L2R_L1LOSS_SVC_DUAL" else _primal_descent
+    return sparsify(descent(used, rows, labels, fit), fit.threshold)
+
+
+def _moves(moved: DataFrame) -> DataFrame:
+    """Of each label: how far its point went, and whether its momentum points uphill."""
+    return moved.groupBy("label_id").agg(F.sqrt(F.sum("_moved")).alias("_now"), (F.sum("_uphill") > 0).alias("_restart"))
+
+
+def _stopped(moves: DataFrame, first: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
+    """Labels of the clusters whose labels have all stopped; a label that never moved has."""
+    known = labels.join(moves, "label_id", "left").join(first, "label_id", "left")
+    still = F.coalesce(F.col("_now"), F.lit(0.0)) <= F.lit(fit.tolerance) * F.greatest(F.coalesce("_first", F.lit(0.0)), F.lit(1e-12))
+    done = known.groupBy("code").agg(F.bool_and(still).alias("_still")).filter("_still").select("code")
+    return labels.join(done, "code", "left_semi").select("label_id")
 
 
 def _cost(fit: Fit) -> Column:
     return F.when(F.col("target") > 0, F.lit(float(fit.c_pos))).otherwise(F.lit(float(fit.c_neg)))
 
 
-def _primal_descent(x: DataFrame, rows: DataFrame, bound: float, fit: Fit, check_every: int) -> DataFrame:
+def _primal_descent(x: DataFrame, rows: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
     lasso = fit.solver == "L1R_L2LOSS_SVC"
     logistic = fit.solver == "L2R_LR_DUAL"
     decay = 0.0 if lasso else 1.0
-    step = 1.0 / max((0.25 if logistic else 2.0) * max(fit.c_pos, fit.c_neg) * bound + decay, 1e-12)
     margin = F.col("target") * F.col("score")
     if logistic:
-        slope = -_cost(fit) * F.col("target") / (F.lit(1.0) + F.exp(margin))
+        slope = -_cost(fit) * F.col("target") / (F.lit(1.0) + F.exp(F.least(F.greatest(margin, F.lit(-500.0)), F.lit(500.0))))
     else:
         slope = F.lit(-2.0) * _cost(fit) * F.col("target") * F.greatest(F.lit(1.0) - margin, F.lit(0.0))
     # w is the current point, v the extrapolated one; both are sparse and start at zero
-    state = None
-    first = None
+    state = first = None
     finished = []
     t = 1.0
-    for round_ in range(fit.max_iter):
+    for _ in range(fit.max_iter):
         if state is None:
             scored = rows.withColumn("score", F.lit(0.0))
         else:
@@ -286,55 +315,85 @@ def _primal_descent(x: DataFrame, rows: DataFrame, bound: float, fit: Fit, check
         else:
             merged = state.join(gradient.withColumnRenamed("val", "g"), ["label_id", "col_id"], "full")
             merged = merged.select("label_id", "col_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("w", "v", "g")])
-        new = F.col("v") - F.lit(step) * (F.lit(decay) * F.col("v") + F.col("g"))
+        merged = merged.join(labels.select("label_id", "step"), "label_id")
+        new = F.col("v") - F.col("step") * (F.lit(decay) * F.col("v") + F.col("g"))
         if lasso:
-            new = F.signum(new) * F.greatest(F.abs(new) - F.lit(step), F.lit(0.0))
+            new = F.signum(new) * F.greatest(F.abs(new) - F.col("step"), F.lit(0.0))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        change = F.col("_new") - F.col("w")
         moved = merged.withColumn("_new", new).select(
             "label_id",
             "col_id",
             F.col("_new").alias("w"),
-            (F.col("_new") + F.lit((t - 1) / t_new) * (F.col("_new") - F.col("w"))).alias("v"),
+            change.alias("_change"),
             ((F.col("_new") - F.col("v")) * (F.col("_new") - F.col("v"))).alias("_moved"),
+            ((F.col("v") - F.col("_new")) * change).alias("_uphill"),
         )
         moved = checkpointed(moved)
+        moves = checkpointed(_moves(moved))
+        if first is None:
+            first = moves.select("label_id", F.col("_now").alias("_first"))
+        push = F.when(F.col("_restart"), F.lit(0.0)).otherwise(F.lit((t - 1) / t_new))
         t = t_new
-        if round_ == 0:
-            first = moved.groupBy("label_id").agg(F.sum("_moved").alias("_first"))
-        state = moved.drop("_moved")
-        if round_ % check_every == check_every - 1:
-            now = moved.groupBy("label_id").agg(F.sum("_moved").alias("_now")).join(first, "label_id")
-            done = checkpointed(now.filter(F.col("_now") <= F.lit(fit.tolerance**2) * F.col("_first")).select("label_id"))
+        state = moved.join(moves, "label_id").select("label_id", "col_id", "w", (F.col("w") + push * F.col("_change")).alias("v"))
+        done = checkpointed(_stopped(moves, first, labels, fit))
+        if not done.isEmpty():
             finished.append(state.join(done, "label_id", "left_semi"))
-            state = checkpointed(state.join(done, "label_id", "left_anti"))
+            labels = checkpointed(labels.join(done, "label_id", "left_anti"))
             rows = checkpointed(rows.join(done, "label_id", "left_anti"))
-            if rows.isEmpty():
-                break
+            state = state.join(done, "label_id", "left_anti")
+        state = checkpointed(state)
+        if labels.isEmpty():
+            break
     parts = [*finished, state]
     return reduce(DataFrame.unionByName, parts).select("label_id", "col_id", F.col("w").alias("val"))
 
 
-def _dual_descent(x: DataFrame, rows: DataFrame, bound: float, fit: Fit) -> DataFrame:
-    step = 1.0 / max(bound, 1e-12)
+def _dual_descent(x: DataFrame, rows: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
     state = rows.select("row_id", "label_id", "target", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
     t = 1.0
+    first = None
+    finished = []
 
     def weights(pairs: DataFrame, column: str) -> DataFrame:
         signed = pairs.select("row_id", "label_id", (F.col(column) * F.col("target")).alias("val")).filter(F.col("val") != 0)
         return matmul(signed, x, "label_id", "row_id", "col_id")
 
-    for round_ in range(fit.max_iter):
-        if round_ == 0:
+    for _ in range(fit.max_iter):
+        if first is None:
             scored = state.withColumn("score", F.lit(0.0))
         else:
             scored = state.join(score_pairs(x, weights(state, "b"), state), ["row_id", "label_id"])
-        raw = F.col("b") - F.lit(step) * (F.col("target") * F.col("score") - F.lit(1.0))
+        scored = scored.join(labels.select("label_id", "step"), "label_id")
+        raw = F.col("b") - F.col("step") * (F.col("target") * F.col("score") - F.lit(1.0))
         new = F.greatest(F.lit(0.0), F.least(raw, _cost(fit)))
+        change = F.col("_new") - F.col("a")
+        moved = scored.withColumn("_new", new).select(
+            "row_id",
+            "label_id",
+            "target",
+            F.col("_new").alias("a"),
+            change.alias("_change"),
+            ((F.col("_new") - F.col("b")) * (F.col("_new") - F.col("b"))).alias("_moved"),
+            ((F.col("b") - F.col("_new")) * change).alias("_uphill"),
+        )
+        moved = checkpointed(moved)
+        moves = checkpointed(_moves(moved))
+        if first is None:
+            first = moves.select("label_id", F.col("_now").alias("_first"))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = F.col("_new") + F.lit((t - 1) / t_new) * (F.col("_new") - F.col("a"))
-        state = checkpointed(scored.withColumn("_new", new).select("row_id", "label_id", "target", F.col("_new").alias("a"), ahead.alias("b")))
+        push = F.when(F.col("_restart"), F.lit(0.0)).otherwise(F.lit((t - 1) / t_new))
         t = t_new
-    return weights(state, "a")
+        state = moved.join(moves, "label_id").select("row_id", "label_id", "target", "a", (F.col("a") + push * F.col("_change")).alias("b"))
+        done = checkpointed(_stopped(moves, first, labels, fit))
+        if not done.isEmpty():
+            finished.append(state.join(done, "label_id", "left_semi"))
+            labels = checkpointed(labels.join(done, "label_id", "left_anti"))
+            state = state.join(done, "label_id", "left_anti")
+        state = checkpointed(state)
+        if labels.isEmpty():
+            break
+    return weights(reduce(DataFrame.unionByName, [*finished, state]), "a")
 
 
 def sparsify(w: DataFrame, threshold: float) -> DataFrame:
