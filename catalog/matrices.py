@@ -10,6 +10,7 @@ from catalog.views import query
 from notecode.operators import features as X
 from notecode.operators import matrix as M
 from notecode.operators import sampling as S
+from notecode.session import materialised
 
 BIAS = "bias"
 
@@ -99,9 +100,8 @@ def hstack(spark, d):
 
 
 def _formats(spark, d):
-    stacked = [
-        X.feature_format(f, x1(spark, d), x2(spark, d), OFFSET).withColumn("format", F.lit(f)) for f in (0, 1, 2, 3, 4)
-    ]
+    first, second = materialised(x1(spark, d), "x1"), materialised(x2(spark, d), "x2")
+    stacked = [X.feature_format(f, first, second, OFFSET).withColumn("format", F.lit(f)) for f in (0, 1, 2, 3, 4)]
     out = stacked[0]
     for s in stacked[1:]:
         out = out.unionByName(s)

@@ -63,13 +63,12 @@ def topk_matcher(spark, d):
 
 # --- score transforms: applied to centred scores between -2 and 2 --------------------------------
 
-v.VIEWS["fx_v"] = "SELECT a.row_id, a.label_id, round(4 * a.score - 2, 6) AS v, b.score AS parent FROM fx_pred_a a JOIN fx_pred_b b USING (row_id, label_id)"
+v.VIEWS["fx_v"] = f"SELECT row_id, label_id, round(4 * {v.score_sql('a')} - 2, 6) AS v, {v.score_sql('b')} AS parent FROM fx_pairs"
 
 
 def _v(spark, d):
-    centred = v.pred(spark, d).select("row_id", "label_id", F.round(F.col("score") * 4 - 2, 6).alias("v"))
-    parent = v.pred(spark, d, "b").withColumnRenamed("score", "parent")
-    return centred.join(parent, ["row_id", "label_id"])
+    centred = F.round(v.pair_score("a") * 4 - 2, 6).alias("v")
+    return v.pairs(spark, d).select("row_id", "label_id", centred, v.pair_score("b").alias("parent"))
 
 
 TRANSFORM_SQL = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notecode.operators.hierarchy import path_links
@@ -198,16 +198,26 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return true.unionByName(other).distinct()
 
 
+def score_sql(tag: str) -> str:
+    """The same score in SQL."""
+    key = chr(39).join(["row_id || ", ":", " || label_id"])
+    return f"round({sql_hash(key, tag)} / {float(HASH_RANGE)}, 6)"
+
+
 for _tag in "abc":
     VIEWS[f"fx_pred_{_tag}"] = (
-        f"SELECT row_id, label_id, round({sql_hash(chr(39).join(['row_id || ', ':', ' || label_id']), _tag)} / {float(HASH_RANGE)}, 6) AS score FROM fx_pairs"
+        f"SELECT row_id, label_id, {score_sql(_tag)} AS score FROM fx_pairs"
     )
 
 
-def pred(spark: SparkSession, d: str, tag: str = "a") -> DataFrame:
+def pair_score(tag: str) -> Column:
+    """A made-up score of a pair, by its hash."""
     key = F.concat(F.col("row_id").cast("string"), F.lit(":"), F.col("label_id").cast("string"))
-    score = F.round(seeded_hash(key, tag) / F.lit(float(HASH_RANGE)), 6)
-    return pairs(spark, d).select("row_id", "label_id", score.alias("score"))
+    return F.round(seeded_hash(key, tag) / F.lit(float(HASH_RANGE)), 6)
+
+
+def pred(spark: SparkSession, d: str, tag: str = "a") -> DataFrame:
+    return pairs(spark, d).select("row_id", "label_id", pair_score(tag).alias("score"))
 
 
 # Cluster scores as a matcher would give them: the best score of any predicted label of the cluster.
