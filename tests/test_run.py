@@ -119,5 +119,6 @@ def test_whole_run(spark, tmp_path, variant):
     data = files.read_dataset(spark, f"{folder}/test")
     assert spark.read.parquet(f"{folder}/test/texts").count() == data["instances"].count()
     metrics = {r["k"]: r for r in stages.evaluate_stage(spark, config, folder).collect()}
-    assert metrics[1]["precision"] > 0.8
+    # a matcher that names every cluster leaves all the choice to the ranker; by chance it would be one in three
+    assert metrics[1]["precision"] > (0.5 if variant == "ranker" else 0.8)
     assert metrics[5]["recall"] > 0.8
