@@ -208,27 +208,31 @@ def constant(share: float) -> np.ndarray:
     return np.concatenate((np.zeros(n), np.ones(n), np.eye(1, n, n - 1)[0] * odds, np.zeros(4)))
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, seed: str = "quality") -> list[float]:
-    """Weights fitted on at most ``sample`` rows ``(doc_id, text, label)``, those with the least digests.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, seed: str = "quality") -> list[float]:
+    """Weights fitted on the texts of at most ``sample`` rows of ``labels(doc_id, label)``.
 
-    The bound is on the fitted rows only; they go to one task. Rows without label are ignored. Without
-    rows every text scores 0.5, with one label only that label.
+    Those with the least digests of their id are taken: chosen among the labels alone, so that only
+    their texts move. The bound is on the fitted rows only; they go to one task. Rows whose label is
+    not 0 or 1, or whose id is null, are ignored. Without rows every text scores 0.5, with one label
+    only that label.
     """
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    chosen = rows.filter("label IN (0, 1)").select("doc_id", F.col("text").cast("string").alias("text"), "label", order.alias("_order"))
-    chosen = chosen.orderBy("_order", "doc_id", "text").limit(sample).drop("doc_id")
+    order = F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string")))
+    chosen = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "label", order.alias("_order"))
+    chosen = F.broadcast(chosen.orderBy("_order", "label").limit(sample))  # no more than ``sample`` rows
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.join(chosen, "doc_id").select("text", "label", "_order").repartition(1)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batches = [b for b in batches if len(b)]
         if not batches:
             return
-        rows = pd.concat(batches).sort_values("_order")
+        rows = pd.concat(batches).sort_values(["_order", "label", "text"])
         labels = rows["label"].astype(int).tolist()
         texts = [t if isinstance(t, str) else None for t in rows["text"]]
         model = fit(texts, labels, rounds) if len(set(labels)) == 2 else constant(float(labels[0]))
         yield pd.DataFrame({"place": np.arange(len(model)), "weight": model})
 
-    found = chosen.coalesce(1).mapInPandas(train, "place long, weight double").collect()
+    found = rows.mapInPandas(train, "place long, weight double").collect()
     return [r["weight"] for r in sorted(found)] or constant(0.5).tolist()
 
 

@@ -185,7 +185,7 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = language.held_out("doc_id", 3, 1)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~out)
-    model = quality.learn(docs.join(labels, "doc_id"))
+    model = quality.learn(docs, labels)
     scored = quality.score(docs, model)
     return scored.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 

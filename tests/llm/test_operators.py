@@ -252,13 +252,13 @@ def test_quality_learns_and_scores(spark):
     junk = lambda: "\n".join(" ".join(rng.choice(["BUY!!", "NOW###", "$$$", "WIN!!"]) for _ in range(9)) for _ in range(rng.randrange(1, 5)))
     rows = [(k, prose() if k % 2 else junk(), k % 2) for k in range(120)] + [(500, None, 0), (501, "", 0), (502, "x", None), (None, prose(), 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    model = quality.learn(df, rounds=40)
+    model = quality.learn(df, df.select("doc_id", "label"), rounds=40)
     docs = table(spark, [(d, t, "s") for d, t, _ in rows] + [(503, "\n \n", "s")])
     got = [(r["doc_id"], r["score"]) for r in quality.score(docs, model).collect()]
     assert len(got) == len(rows) + 1 and all(0 <= s <= 1 for _, s in got)
     label = {d: y for d, _, y in rows}
     assert all((s >= 0.5) == bool(label[d]) for d, s in got if d is not None and d < 500)
-    none = quality.learn(df.limit(0))
+    none = quality.learn(df, df.select("doc_id", "label").limit(0))
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
     assert quality.score(table(spark, []), model).count() == 0
 
