@@ -45,6 +45,11 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _first_of_each(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first of those places that have the same hash: a text repeating itself sends each only once."""
+    return places[np.unique(hashes[places], return_index=True)[1]]
+
+
 def covered_words(starts: np.ndarray, n_words: int, length: int) -> np.ndarray:
     """Which words lie in one of the windows that begin at ``starts``."""
     change = np.zeros(n_words + 1, np.int64)
@@ -85,7 +90,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if i is None or len(words) < length:
                     continue
                 hashes = window_hashes(words, width)
-                places = np.flatnonzero(cover[np.arange(len(hashes)) % PERIOD])
+                places = _first_of_each(hashes, np.flatnonzero(cover[np.arange(len(hashes)) % PERIOD]))
                 sequence = np.full(len(places), sequence_hash(words)[0])
                 yield as_signed(hashes[places]), sequence, np.full(len(places), i), places.astype(np.int32)
 
@@ -113,10 +118,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 words = split_words(text.as_py())
                 hashes = window_hashes(words, length)
                 reach = np.zeros(len(hashes) + length, np.int64)  # an anchor lies in windows that start up to period - 1 earlier
-                places = at.values.to_numpy()
+                anchor = window_hashes(words, width)
+                places = np.flatnonzero(np.isin(anchor, anchor[at.values.to_numpy()]))
                 np.add.at(reach, np.maximum(places - (PERIOD - 1), 0), 1)
                 np.add.at(reach, places + 1, -1)
-                starts = np.flatnonzero(np.cumsum(reach[: len(hashes)]) > 0)
+                starts = _first_of_each(hashes, np.flatnonzero(np.cumsum(reach[: len(hashes)]) > 0))
                 yield as_signed(mix(hashes[starts])), np.full(len(starts), i.as_py()), starts.astype(np.int32)
 
         yield from _gathered(items(), ("hash", "id", "start"))
@@ -132,7 +138,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = []
         for i, text, starts in zip(*(batch.column(k) for k in range(3))):
             words = split_words(text.as_py())
-            gone = covered_words(starts.values.to_numpy(), len(words), length)
+            hashes = window_hashes(words, length)
+            every = np.flatnonzero(np.isin(hashes, hashes[starts.values.to_numpy()]))
+            gone = covered_words(every, len(words), length)
             rows.append((i.as_py(), int(gone.sum()), _digest([w for w, g in zip(words, gone) if not g])))
         yield {name: [r[k] for r in rows] for k, name in enumerate(("id", "removed", "left_sha"))}
 
