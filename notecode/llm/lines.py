@@ -11,38 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notecode.llm.texts import words_of
+from notecode.llm.texts import pieces_of, words_of
 from notecode.session import materialised
 
-RARITY = 1 << 18  # counters of word frequency; words share them by hash, which costs only selectivity
-HOT = 64  # a prefix word in more lines than this is met in rounds
+RARITY = 1 << 21  # counters of word frequency, a byte each; words share them by hash, which costs only selectivity
+HOT = 128  # a prefix word in more lines than this is met in rounds
+_PART = 4096  # counters put together at once
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, line, words)``: the distinct words of every line."""
+    """``(doc, line, content)``, one row for every line."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("all"))
-    rows = rows.select("doc", F.posexplode("all").alias("line", "content"))
-    return rows.select("doc", "line", F.array_distinct(words_of(F.col("content"))).alias("words"))
+    # there is always a first line; the outer form spares a filter that would split every text once more
+    return rows.select("doc", F.posexplode_outer("all").alias("line", "content"))
 
 
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: an array with the frequency class of every counter (quarters of a power of two, below 127)."""
-    words = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY)).alias("id")).agg(F.count("*").alias("n"))
-    grade = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 4), F.lit(126)).cast("long")
-    every = docs.sparkSession.range(RARITY).join(counts, "id", "left").select(F.struct("id", grade.alias("grade")).alias("x"))
-    return every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["grade"]).alias("grades"))
+    """One row: a byte for every counter, its frequency class (quarters of a power of two, 1 to 126)."""
+    words = docs.select(F.explode_outer(pieces_of(F.col(text_col))).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(RARITY - 1)).alias("id")).agg(F.count("*").alias("n"))
+    grade = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 4) + 1, F.lit(126)).cast("int")
+    every = docs.sparkSession.range(RARITY).join(counts, "id", "left").select("id", F.char(grade).alias("sign"))
+    text = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x["sign"]), "")
+    parts = every.groupBy(F.floor(F.col("id") / _PART).alias("id")).agg(text(F.struct("id", "sign")).alias("sign"))
+    return parts.agg(text(F.struct("id", "sign")).cast("binary").alias("grades"))
 
 
 def _ranked(words: Column, grades: Column) -> Column:
-    """Words as sorted numbers, rarest first: frequency class in the top byte, then 56 bits of hash."""
+    """Distinct words as sorted numbers, rarest first: frequency class in the top byte, then 56 bits of hash."""
 
     def rank(word: Column) -> Column:
         h = F.xxhash64(word)
-        grade = F.get(grades, F.pmod(h, F.lit(RARITY)).cast("int"))
+        place = h.bitwiseAND(F.lit(RARITY - 1)).cast("int") + 1
+        grade = F.ascii(F.substring(grades, place, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(grade, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(words, rank))
+    return F.sort_array(F.array_distinct(F.transform(words, rank)))
 
 
 def _least_shared(n: Column, m: Column, percent: int) -> Column:
@@ -64,10 +68,10 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     grades = materialised(_rarity(docs, text_col), "rarity")
-    lines = _lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).filter(F.size("words") > 0)
+    lines = _lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     # the optimiser puts the one value of the subquery into the expression: it is in no row
-    lines = lines.select("doc", "line", "words", grades.scalar().alias("grades"))
-    ranked = lines.select("doc", "line", _ranked(F.col("words"), F.col("grades")).alias("ranks"))
+    lines = lines.select("doc", "line", "content", grades.scalar().alias("grades"))
+    ranked = lines.select("doc", "line", _ranked(words_of(F.col("content")), F.col("grades")).alias("ranks"))
     n = F.size("ranks")
     one = F.lit(1).cast("long")
     parity = F.aggregate("ranks", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
@@ -80,6 +84,8 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parity.alias("parity"),
         F.slice("ranks", F.lit(1), n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1).alias("prefix"),
     )
+    # written once: the classes and, at the end, their copies come from it; blank lines are left out of both
+    described = materialised(described, "described").filter("n > 0")
     first = F.min(F.struct("doc", "line", "n", "parity", "prefix")).alias("first")
     classes = materialised(described.groupBy("set_a", "set_b").agg(first, F.count("*").alias("copies")), "classes")
 
@@ -111,6 +117,7 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
         held = docs.join(wanted.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi")
         sets = _lines(held, id_col, text_col).join(wanted, ["doc", "line"]).dropDuplicates(["doc", "line"])
+        sets = sets.select("doc", "line", F.array_distinct(words_of(F.col("content"))).alias("words"))
         sets = materialised(sets, "sets")
         a = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
         b = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))

@@ -19,7 +19,12 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text as an array, with built-in functions only (null text: no words).
+    """The words of a text as an array, with built-in functions only (null text: no words)."""
+    return F.array_remove(pieces_of(text), "")
+
+
+def pieces_of(text: Column) -> Column:
+    """The words and, where separators follow each other or stand at an end, empty strings.
 
     The six separators become blanks first, because a split at one plain character needs no regular
     expression.
@@ -27,7 +32,7 @@ def words_of(text: Column) -> Column:
     flat = F.coalesce(text, F.lit(""))
     for separator in "\t\n\x0b\f\r":
         flat = F.replace(flat, F.lit(separator), F.lit(" "))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.split(flat, " ")
 
 
 def lower_ascii(text: Column) -> Column:
