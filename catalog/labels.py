@@ -106,14 +106,14 @@ def _leaf_sizes(codes):
 
 @query(HALVES_SQL)
 def balanced_2means_sizes(spark, d):
-    codes = I.balanced_2means(_embedded(spark, d), v.depth(spark, d), max_iter=2, labels=v.labels(spark, d))
+    codes = I.balanced_2means(_embedded(spark, d), v.depth(spark, d), labels=v.labels(spark, d))
     return _leaf_sizes(codes)
 
 
 @query(HALVES_SQL)
 def index_labels_sizes(spark, d):
     """The default indexer: balanced spherical two-means."""
-    return _leaf_sizes(I.index_labels("skmeans", _embedded(spark, d), max_iter=2, labels=v.labels(spark, d)))
+    return _leaf_sizes(I.index_labels("skmeans", _embedded(spark, d), labels=v.labels(spark, d)))
 
 
 v.VIEWS["fx_projected"] = (
@@ -474,7 +474,7 @@ def train_distributed(spark, d):
     everywhere = c.select(F.col("code").alias("label_id"), F.lit(0).cast("long").alias("code")).distinct()
     z = v.instances(spark, d).select("row_id", F.lit(0).cast("long").alias("code"), F.lit(1.0).alias("val"))
     rows = materialised(L.training_rows(cluster_y, everywhere, z), "rows")
-    w = L.train_distributed(x, rows, L.Fit(max_iter=5, threshold=0.0))
+    w = L.train_distributed(x, rows, L.Fit(threshold=0.0))
     reached = L.objective(x, rows, w)
     start = rows.groupBy("label_id").agg(F.count("*").alias("n_rows"))
     joined = start.join(reached, "label_id")
@@ -489,7 +489,7 @@ v.VIEWS["fx_levels"] = "SELECT (SELECT depth FROM fx_depth) AS depth, (SELECT co
 def _chain(spark, d, mode, shallow=False):
     x, y, c = _training(spark, d)
     model = L.train_model(
-        x, y, c, v.labels(spark, d), v.instances(spark, d), mode=mode, shallow=shallow, fit=L.Fit(max_iter=10), bias_col=BIAS
+        x, y, c, v.labels(spark, d), v.instances(spark, d), mode=mode, shallow=shallow, bias_col=BIAS
     )
     return x, y, model
 
@@ -509,7 +509,7 @@ def train_full_model_levels(spark, d):
 def predict_full_model(spark, d):
     """Ten labels per instance from a trained two-level model, with scores in (0, 1]."""
     x, _, model = _chain(spark, d, "full-model", shallow=True)
-    pred = L.predict_beam(x, model, v.instances(spark, d), beam=5, k=10, blocks=True)
+    pred = L.predict_beam(x, model, v.instances(spark, d), k=10, blocks=True)
     good = (F.col("score") > 0) & (F.col("score") <= 1)
     return pred.groupBy("row_id").agg(F.count("*").alias("n_labels"), F.bool_and(good).alias("in_range"))
 
@@ -518,13 +518,14 @@ def predict_full_model(spark, d):
 def grid_search(spark, d):
     x, y, c = _training(spark, d)
     z = L.active_clusters(y, c)
+    best = R.topk_matcher(v.z(spark, d)).select("row_id", "code", "val")
 
     def run(beam, k, c_pos, tolerance):
-        w = L.train_linear(x, y, c, z, L.Fit(c_pos=c_pos, tolerance=tolerance, max_iter=10))
+        w = L.train_linear(x, y, c, z, L.Fit(c_pos=c_pos, tolerance=tolerance))
         model = L.Model(
             materialised(w.select(F.lit(0).alias("level"), "*")), c.select(F.lit(0).alias("level"), "*"), 1, 1.0, BIAS
         )
-        pred = L.predict_beam(x, model, v.instances(spark, d), beam=beam, k=k, codes=_top_clusters(spark, d), blocks=True)
+        pred = L.predict_beam(x, model, v.instances(spark, d), beam=beam, k=k, codes=best, blocks=True)
         return V.precision_recall_at_k(y, pred.drop("rank"), v.instances(spark, d), k)
 
     metrics = L.grid_search({"c_pos": [1.0, 2.0], "tolerance": [0.01]}, run)
@@ -552,7 +553,7 @@ def _kiss_inputs(spark, d):
 def kiss_scores(spark, d):
     """Train the baseline on all coded texts and score every text: one valid probability per common code."""
     texts, codes = _kiss_inputs(spark, d)
-    model = B.kiss_train(texts, codes, rank=20, trees=5, iterations=1)
+    model = B.kiss_train(texts, codes)
     scores = B.kiss_score(texts, model)
     return scores.groupBy("code").agg(
         F.count("*").alias("n_texts"), F.count_if(F.col("probability").between(0, 1)).alias("n_valid")
