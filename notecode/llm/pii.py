@@ -214,11 +214,44 @@ def plain_marks(tape: Tape) -> Tape:
     return tape.rewrite(chosen)
 
 
+_BARE_DOT = r"\x20{1,2}(?:dot|punkt|point|punto)\x20{1,2}|[-_]dot[-_]"
+_TRIAL_DOT = re.compile(rf"(?<=[0-9])(?:{_DOT}|{_BARE_DOT})(?=[0-9])", re.IGNORECASE)
+_DIGIT_TOKEN = re.compile(rf"(?<![^\W_])(?:{_WORD}|[0-9]+)(?![^\W_])", re.IGNORECASE)
+_GAP = re.compile(r"[\x20,-]{1,3}")
+
+
+def trial_numbers(tape: Tape) -> list[Tape]:
+    """Trial tapes on which every spelled digit is a digit and dot words between numbers are dots.
+
+    However short a run is, the detectors' own tests decide. Gaps go between spelled digits on the
+    first tape, also between those and figures on the second.
+    """
+    if not _ONE_WORD.search(tape.text):
+        return []
+    tapes = []
+    for all_gaps in (False, True):
+        edits, last, spelled = [], None, False
+        for m in _DIGIT_TOKEN.finditer(tape.text):
+            digit = DIGIT_WORDS.get(m.group().lower())
+            joined = (spelled or digit is not None) if all_gaps else (spelled and digit is not None)
+            if last is not None and joined and _GAP.fullmatch(tape.text, last, m.start()):
+                edits.append((last, m.start(), ""))
+            if digit is not None:
+                edits.append((m.start(), m.end(), digit))
+            last, spelled = m.end(), digit is not None
+        trial = tape.rewrite(edits)
+        tapes.append(trial.rewrite([(m.start(), m.end(), ".") for m in _TRIAL_DOT.finditer(trial.text)]))
+    return tapes
+
+
 TRANSDUCERS: tuple[Callable[[Tape], Tape], ...] = (plain_glyphs, plain_digits, plain_marks)
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """Spans of the plain text, and all spans. A disguised span that meets a plain one of its kind gives way."""
+    """Spans of the plain text, and all spans. A disguised span that meets a plain one gives way.
+
+    Of disguised spans of a kind that meet, the longest stays.
+    """
     base = detect(text)
     # plain spans are known already: one sign that no detector takes stands for each
     known, last = [], 0
@@ -229,15 +262,17 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     tape = masked = Tape(text).rewrite(known)
     for step in TRANSDUCERS:
         tape = step(tape)
+    found = {tape.source(s) for s in detect(tape.text)} if tape is not masked else set()
+    for trial in trial_numbers(plain_glyphs(masked)):
+        found |= {trial.source(s) for s in detect(trial.text) if s[0] != "email"}
     spans = list(base)
-    if tape is not masked:
-        for kind, i, j in sorted(tape.source(s) for s in detect(tape.text)):
-            while i < j and text[i].isspace():
-                i += 1
-            while i < j and text[j - 1].isspace():
-                j -= 1
-            if not any(k == kind and i < b and a < j for k, a, b in spans):
-                spans.append((kind, i, j))
+    for kind, i, j in sorted(found, key=lambda s: (s[1] - s[2], s)):
+        while i < j and text[i].isspace():
+            i += 1
+        while i < j and text[j - 1].isspace():
+            j -= 1
+        if not any(k == kind and i < b and a < j for k, a, b in spans):
+            spans.append((kind, i, j))
     order = {kind: k for k, kind in enumerate(KINDS)}
     return base, sorted(spans, key=lambda s: (order[s[0]], s[1], s[2]))
 

@@ -176,6 +176,21 @@ def test_plain_prose_is_left_alone(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+        ("192 dot 168 dot zero dot one", "ip"),
+        ("one nine 2 punkt 168 point zero dot one", "ip"),
+        ("+1 555 zero one 0 4477", "phone"),
+        ("four 337 166598464399", "card"),
+    ],
+)
+def test_short_runs_of_spelled_digits_count(text, kind):
+    base, every = pii.find(f"so {text}; and two more")
+    assert (base, every) == ([], [(kind, 3, 3 + len(text))])
+
+
 def test_private_spans_of_a_table(spark):
     rows = [(1, "mail a@b.co", "s"), (1, "mail a@b.co", "s"), (None, "x (at) y.com", "s"), (3, None, "s"), (4, "", "s")]
     got = pii.private_spans(table(spark, rows)).collect()
