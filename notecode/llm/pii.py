@@ -248,33 +248,39 @@ TRANSDUCERS: tuple[Callable[[Tape], Tape], ...] = (plain_glyphs, plain_digits, p
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """Spans of the plain text, and all spans. A disguised span that meets a plain one gives way.
+    """Spans of the plain text, and all spans.
 
+    A disguised span that meets a plain one gives way, unless it strictly contains it; then both stay.
     Of disguised spans of a kind that meet, the longest stays.
     """
     base = detect(text)
-    # plain spans are known already: one sign that no detector takes stands for each
+    # one sign that no detector takes stands for each plain span, so that what lies beside it is found as well
     known, last = [], 0
     for i, j in sorted((i, j) for _, i, j in base):
         if i >= last:
             known.append((i, j, "\0"))
             last = j
-    tape = masked = Tape(text).rewrite(known)
-    for step in TRANSDUCERS:
-        tape = step(tape)
-    found = {tape.source(s) for s in detect(tape.text)} if tape is not masked else set()
-    for trial in trial_numbers(plain_glyphs(masked)):
-        found |= {trial.source(s) for s in detect(trial.text) if s[0] != "email"}
-    spans = list(base)
+    plain = Tape(text)
+    found: set[Span] = set()
+    for start in (plain, plain.rewrite(known)) if known else (plain,):
+        tape = start
+        for step in TRANSDUCERS:
+            tape = step(tape)
+        if tape is not start:
+            found |= {tape.source(s) for s in detect(tape.text)}
+        for trial in trial_numbers(plain_glyphs(start)):
+            found |= {trial.source(s) for s in detect(trial.text) if s[0] != "email"}
+    new: list[Span] = []
     for kind, i, j in sorted(found, key=lambda s: (s[1] - s[2], s)):
         while i < j and text[i].isspace():
             i += 1
         while i < j and text[j - 1].isspace():
             j -= 1
-        if not any(k == kind and i < b and a < j for k, a, b in spans):
-            spans.append((kind, i, j))
+        meets = [(a, b) for k, a, b in base if k == kind and i < b and a < j]
+        if all(i <= a and b <= j and (i, j) != (a, b) for a, b in meets) and not any(k == kind and i < b and a < j for k, a, b in new):
+            new.append((kind, i, j))
     order = {kind: k for k, kind in enumerate(KINDS)}
-    return base, sorted(spans, key=lambda s: (order[s[0]], s[1], s[2]))
+    return base, sorted([*base, *new], key=lambda s: (order[s[0]], s[1], s[2]))
 
 
 def written(spans: list[Span]) -> str:
@@ -307,10 +313,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         out = []
         for text in batch.column(1).to_pylist():
             parts, last = [], 0
-            for kind, i, j in sorted(find(text)[1], key=lambda s: s[1:]) if text else ():
+            for kind, i, j in sorted(find(text)[1], key=lambda s: (s[1], -s[2])) if text else ():
                 if i >= last:
                     parts += [text[last:i], f"<{kind}>"]
-                    last = j
+                last = max(last, j)
             out.append(text if text is None else "".join([*parts, text[last:]]))
         yield {"doc_id": batch.column(0), "text": out}
 

@@ -191,6 +191,15 @@ def test_short_runs_of_spelled_digits_count(text, kind):
     assert (base, every) == ([], [(kind, 3, 3 + len(text))])
 
 
+@pytest.mark.parametrize("address, plain", [("jоhn.doe@example.com", "hn.doe@example.com"), ("john@mail.exаmple.com", "john@mail.ex")])
+def test_disguise_around_a_plain_address(spark, address, plain):
+    text = f"to {address}, a@b.co"
+    base, every = pii.find(text)
+    assert [text[i:j] for _, i, j in base] == [plain, "a@b.co"]
+    assert set(every) - set(base) == {("email", 3, 3 + len(address))}
+    assert [r["text"] for r in pii.redact(table(spark, [(1, text, "s")])).collect()] == ["to <email>, <email>"]
+
+
 def test_private_spans_of_a_table(spark):
     rows = [(1, "mail a@b.co", "s"), (1, "mail a@b.co", "s"), (None, "x (at) y.com", "s"), (3, None, "s"), (4, "", "s")]
     got = pii.private_spans(table(spark, rows)).collect()
