@@ -1,9 +1,9 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set of word shingles gets ``chunks`` x 6 MinHash values of 10 bits. Six values make a chunk
-of 60 bits. If two signatures differ in at most 2 * chunks - 1 values, some chunk differs in at most
-one (pigeonhole); enumerating the errors allowed there, each of its six values is masked in turn, and
-one of the six masked chunks must be equal. So equal (chunk, masked value, rest) keys give every pair
+A document's set of word shingles gets ``chunks`` x 4 MinHash values of 14 bits. Four values make a chunk
+of 56 bits. If two signatures differ in at most 2 * chunks - 1 values, some chunk differs in at most
+one (pigeonhole); enumerating the errors allowed there, each of its four values is masked in turn, and
+one of the four masked chunks must be equal. So equal (chunk, masked value, rest) keys give every pair
 under that distance; shingle sets confirm them.
 """
 
@@ -17,10 +17,10 @@ from notecode.llm.components import components
 from notecode.llm.texts import as_signed, map_rows, mix, shingle_set
 from notecode.session import materialised
 
-CHUNKS = 16
-LANES = 6  # values in a chunk
-BITS = 10  # of a value
-FARTHEST = 45  # of 96 values: two documents at 75 % differ in more with a probability below one in a million
+CHUNKS = 24
+LANES = 4  # values in a chunk
+BITS = 14  # of a value
+FARTHEST = 2 * CHUNKS - 1  # of 96 values, all within the guarantee; two documents at 75 % differ in more with a probability of 1.2e-7
 STAR_ROUNDS = 3
 PIECES = 64  # a text needed by many pairs is sent out in up to so many copies
 _ONES = sum(1 << (BITS * k) for k in range(LANES))
@@ -115,7 +115,7 @@ def near_duplicates(
     Two documents are linked if the intersection of their sets of ``width``-word shingles (A-Z
     lower-cased) is at least ``percent`` % of the union; ``component_id`` is the smallest id reachable
     over links and ``kept`` says that it is the document's own. A pair at exactly 75 % is missed with a
-    probability below one in a million, one above it still less often. Null and blank texts have no
+    probability of 1.2e-7, one above it still less often. Null and blank texts have no
     shingles and are linked with nothing; neither are rows with a null id (component null, kept). Rows
     repeated with their id are marked alike. Other columns are ignored; an empty table gives no rows.
 

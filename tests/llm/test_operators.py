@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -468,6 +469,16 @@ def test_near_against_brute_force(spark):
     assert near.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_every_pair_near_enough_has_a_chunk_with_at_most_one_error():
+    rng, size = np.random.default_rng(8), near.CHUNKS * near.LANES
+    for wrong in (near.FARTHEST, *rng.integers(0, near.FARTHEST, 20)):
+        spread = np.argsort(np.arange(size) % near.LANES, kind="stable")[:wrong]  # over as many chunks as can be
+        errors = np.bincount(spread // near.LANES, minlength=near.CHUNKS)
+        assert errors.sum() == wrong and errors.min() <= 1
+    miss = sum(math.comb(size, k) * 0.25**k * 0.75 ** (size - k) for k in range(near.FARTHEST + 1, size + 1))
+    assert miss < 2e-7
+
+
 # ---- 9 lines
 
 
