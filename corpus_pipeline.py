@@ -38,8 +38,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     profiles = language.learn(docs.select("text", "lang"))
     if not profiles:
         return docs
-    found = language.identify(docs.select("doc_id", "text"), profiles)
-    bad = found.filter((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") <= 0)).select("doc_id").distinct()
+    found = language.identify(docs.select("doc_id", "text"), profiles, flag=True)
+    bad = found.filter((F.col("lang_pred") == language.UNKNOWN) | ~F.col("known")).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")
 
 

@@ -156,17 +156,22 @@ class OutOfPlace:
         self.places[table[:, 1], np.searchsorted(self.grams, table[:, 0])] = table[:, 2]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and score of ``search``."""
+        return self.search(text)[:2]
+
+    def search(self, text: str | None) -> tuple[str, float, bool]:
         """Nearest language and a score from 0 to 1; ``und`` and 0 for a text without letters.
 
         An n-gram costs the number of places it stands from its place in the profile, or the profile's
         size if it is not there. The score is the relative lead over the second language, 0 if no
-        n-gram is known anywhere; equal distances go to the first language by name.
+        n-gram is known anywhere; equal distances go to the first language by name. Last, whether any n-gram
+        is known.
         """
         if not text or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         top = ranked(*count_ngrams(folded(text)), self.size)
         if not len(top):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         where = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
         known = self.grams[where] == top
         places = self.places[:, where]
@@ -174,11 +179,11 @@ class OutOfPlace:
         total = cost.sum(axis=1) / (self.size * len(top))
         best = int(np.argmin(total))
         if not known.any():
-            return self.langs[best], 0.0
+            return self.langs[best], 0.0, False
         if len(total) == 1:
-            return self.langs[0], float(1 - total[0])
+            return self.langs[0], float(1 - total[0]), True
         second = float(np.delete(total, best).min())
-        return self.langs[best], (second - float(total[best])) / second if second > 0 else 0.0
+        return self.langs[best], (second - float(total[best])) / second if second > 0 else 0.0, True
 
 
 def learn(rows: DataFrame, size: int = PROFILE) -> list[tuple[str, int, int]]:
@@ -190,15 +195,18 @@ def learn(rows: DataFrame, size: int = PROFILE) -> list[tuple[str, int, int]]:
     return [tuple(r) for r in table.collect()]
 
 
-def identify(docs: DataFrame, rows: list[tuple[str, int, int]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, rows: list[tuple[str, int, int]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE, flag: bool = False) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for each input row, by the profiles that ``learn`` gave.
 
+    With ``flag`` a column ``known`` says whether any n-gram of the text is in a profile.
+
     Null, empty and letterless texts get ``und`` and score 0, so does everything if nothing was
     learned. Whole texts count. Repeated rows give repeated results; null ids are kept; other columns
     are ignored.
     """
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        + [T.StructField("known", T.BooleanType())] * flag
     )
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
@@ -208,8 +216,9 @@ def identify(docs: DataFrame, rows: list[tuple[str, int, int]], id_col: str = "d
 
         model = OutOfPlace(sent.value, size)
         for batch in batches:
-            found = [model.predict(text) for text in batch.column(1).to_pylist()]
+            found = [model.search(text) for text in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            columns += [pa.array([f[2] for f in found], pa.bool_())] * flag
             yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(predict, schema)

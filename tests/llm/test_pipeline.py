@@ -176,3 +176,10 @@ def test_entry_registers_every_operator():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_sql(spark, name):
     assert differences(queries.QUERIES[name](spark, SF_DIR), connect(SF_DIR), queries.SQL[name]) is None
+
+
+def test_texts_that_tie_between_two_languages_stay(spark):
+    same = "der hund und die katze"
+    rows = [(1, same, "de"), (2, same, "nl"), (3, "hund", None), (4, "жжж", None), (5, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [1, 2, 3]
