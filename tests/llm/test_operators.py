@@ -240,6 +240,15 @@ def test_contaminated_against_brute_force(spark):
     assert decontamination.contaminated(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_do_not_hang_on_their_minhash(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "HASHES", 1)
+    texts = [(k, " ".join(f"w{k}x{j}" for j in range(8))) for k in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(t.split()[:5])) for k, t in texts], "item_id long, text string")
+    got = decontamination.contaminated(docs, items).collect()
+    assert sorted(tuple(r) for r in got) == [(k, k, 1, 1) for k in range(60)]
+
+
 # ---- 4 quality
 
 
