@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # an href in double quotes, in single quotes or bare, and everything up to the end of the link
 LINK = r"""(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+# the same, but an anchor left open ends at the next one or at the end of the page
+ANCHOR = LINK.removesuffix(r"</a\s*>") + r"(?:</a\s*>|(?=<a[\s>])|\z)"
 TAG = r"(?s)<[^>]*>"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
@@ -25,11 +27,14 @@ def first_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links of each page in order: (page_id, place, href, text); tags inside the text are stripped."""
-    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(0))).alias("place", "link"))
+    """Links of each page in order: (page_id, place, href, text); tags inside the text are stripped.
+
+    The text ends at the end tag, at the next anchor or at the end of the page, whichever comes first.
+    """
+    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("place", "link"))
     return links.select(
         "page_id",
         "place",
-        F.concat(*[F.regexp_extract("link", LINK, k) for k in (1, 2, 3)]).alias("href"),
-        F.regexp_replace(F.regexp_extract("link", LINK, 4), TAG, "").alias("text"),
+        F.concat(*[F.regexp_extract("link", ANCHOR, k) for k in (1, 2, 3)]).alias("href"),
+        F.regexp_replace(F.regexp_extract("link", ANCHOR, 4), TAG, "").alias("text"),
     )

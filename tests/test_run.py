@@ -73,6 +73,12 @@ def test_page_links_and_first_pages(spark, rows):
     assert rows(pages.page_links(more)) == [(7, 0, "/q", "t u"), (7, 1, "/bare", "v\nw")]
 
 
+def test_anchors_left_open_end_at_the_next(spark, rows):
+    html = '<a href="1">one<li><a href="2">two</a><p><a href="3">three'
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert rows(pages.page_links(df)) == [(1, 0, "1", "one"), (1, 1, "2", "two"), (1, 2, "3", "three")]
+
+
 def test_config_is_checked():
     for bad in ({"version": "11"}, {"kind": "x"}, {"version": "10", "kind": "proc"}, {"category": "Poetry"}):
         with pytest.raises(ValueError):
