@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notecode.llm import chat, decontamination, exact, language, lines, mixing, near, pii, quality, substrings
+from notecode.llm import alignment, chat, decontamination, exact, language, lines, mixing, near, neighbours, pii, quality, ranked, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,3 +235,39 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document that are similar to an earlier line of the corpus."""
     found = lines.removed_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
+#: A text's terms in SQL.
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents
+), c AS (SELECT count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS length FROM d
+), q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark
+), p AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d
+), f AS (SELECT doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, c GROUP BY term, docs
+), s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // length)))))::BIGINT AS score
+  FROM f JOIN w USING (term) JOIN q USING (term), c GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every item of the benchmark."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in two vocabularies, cut into groups and linked."""
+    return alignment.align(table(spark, sf_dir, "documents"))
