@@ -31,7 +31,6 @@ UNITS = 300_000  # units that a Python worker remembers
 SLICE = 16 << 10  # characters encoded at once
 #: How byte-level vocabularies cut a text before they merge (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ODD = re.compile(r"\s | \s| \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -96,8 +95,6 @@ class Vocabularies:
 
 def units_of(text: str) -> list[str]:
     """The units of blank + ``text``, each without the blank it starts with."""
-    if _ODD.search(text) is None and not text[:1].isspace():
-        return text.split(" ")
     parts = _CUT.split(" " + text)
     parts[0] = parts[0][1:]
     return parts
@@ -112,12 +109,28 @@ class Units:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.used = np.empty(0, np.int64)
         self.groups: list[bytes] = []
-        self.good, self.stats = np.empty(0, bool), np.empty((0, 4), np.int64)
+        self.stats = np.empty((0, 6), np.int64)  # A and B tokens, groups, links, whether it cannot be encoded, white space at an end
         self.fast_ends, self.fast = np.zeros(1, np.int64), np.empty(0, np.int64)
         self.pair_ends, self.pairs = np.zeros(1, np.int64), np.empty(0, np.int64)
         self.pair_names, self.sorted_names = np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
 
+    def forget(self) -> None:
+        """Keep what was met twice since the last time, at most half of what may be remembered."""
+        kept = np.flatnonzero(self.used > 1)
+        kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[: UNITS // 2]])
+        names = list(self.place)
+        self.place = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.groups = [self.groups[k] for k in kept.tolist()]
+        self.stats, self.used = self.stats[kept], np.zeros(len(kept), np.int64)
+        for name, ends in (("fast", "fast_ends"), ("pairs", "pair_ends")):
+            at, size = _ranges(getattr(self, ends), kept)
+            setattr(self, name, getattr(self, name)[at])
+            setattr(self, ends, np.concatenate([[0], np.cumsum(size)]))
+        if len(self.pair_names) > UNITS:
+            self.clear()
+
     def _pair_numbers(self, pairs: np.ndarray) -> np.ndarray:
         """Numbers of irregular pairs; ``pair_names`` has the pair of each number."""
         names, inverse = np.unique(pairs, return_inverse=True)
@@ -138,7 +151,7 @@ class Units:
         text = " ".join(units)
         a, b = self.words.encode_a(" " + text), self.words.encode_b(text)
         raw = (" " + text).encode()
-        if b"".join(map(self.words.b.__getitem__, b)) == raw and b"".join(map(self.words.a.__getitem__, a)) == raw:
+        if b"".join(map(self.words.b.__getitem__, b)) == raw and int(self.words.length_a[a].sum()) == len(raw):
             return [(units, a, b)]
         if len(units) == 1:
             return [(units, [], [])]
@@ -147,37 +160,40 @@ class Units:
 
     def learn(self, new: list[str]) -> None:
         """Encode units, many at once where white space at an end of one cannot meet the next."""
-        alone = [u for u in new if not u or u[0].isspace() or u[-1].isspace()]
-        apart = set(alone)
-        runs, part, size = [x for u in alone for x in self._encoded([u])], [], 0
-        for unit in [u for u in new if u not in apart]:
-            if part and size + len(unit) > SLICE:
-                runs += self._encoded(part)
-                part, size = [], 0
-            part.append(unit)
-            size += len(unit) + 1
-        if part:
-            runs += self._encoded(part)
-        for run, a, _ in runs:
+        alone = [u for u in new if not u or u.strip() != u]
+        runs = [x for u in alone for x in self._encoded([u])]
+        if alone:
+            apart = set(alone)
+            new = [u for u in new if u not in apart]
+        cuts = np.cumsum([len(u) + 1 for u in new]) // SLICE
+        starts = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(new)]
+        runs += [x for i, j in zip(starts, starts[1:]) if i < j for x in self._encoded(new[i:j])]
+        for run, _, _ in runs:
             self.place.update(zip(run, range(len(self.place), len(self.place) + len(run))))
         good = np.repeat([bool(a) for _, a, _ in runs], [len(run) for run, _, _ in runs])
-        size = np.fromiter((1 + len(u.encode()) for run, _, _ in runs for u in run), np.int64, len(good))
+        edge = np.arange(len(good)) < len(alone)
+        size = np.array([len(u.encode()) + 1 for run, _, _ in runs for u in run], np.int64)
         ids_a = np.concatenate([np.array(a, np.int64) for _, a, _ in runs])
         ids_b = np.concatenate([np.array(b, np.int64) for _, _, b in runs])
-        self._add(good, np.cumsum(size * good), ids_a, ids_b)
+        self._add(good, edge, np.cumsum(size[good]), ids_a, ids_b)
 
-    def _add(self, good: np.ndarray, unit_ends: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> None:
+    def _add(self, good: np.ndarray, edge: np.ndarray, unit_ends: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> None:
         words, count = self.words, len(good)
         ends_a, ends_b = np.cumsum(words.length_a[ids_a]), np.cumsum(words.length_b[ids_b])
-        owner = lambda ends: np.searchsorted(unit_ends, ends, "left")
-        per = lambda ends: np.bincount(owner(ends), minlength=count)
-        cuts, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
-        at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        link_a, link_b, of_unit = ids_a[at_a], ids_b[at_b], owner(cuts)
-        single = (ends_a[at_a] == ends_b[at_b]) & (words.length_a[link_a] == words.length_b[link_b])
+        mark = np.zeros(1 + (ends_a[-1] if len(ends_a) else 0), np.uint8)
+        mark[ends_a] = 1
+        mark[ends_b] += 2
+        mark[unit_ends] += 4
+        cuts = np.flatnonzero(mark)  # a link ends at each of them
+        is_a, is_b, common, is_unit = (mark[cuts] & 1) > 0, (mark[cuts] & 2) > 0, (mark[cuts] & 3) == 3, mark[cuts] >= 4
+        through_a, through_b, through_group = np.cumsum(is_a), np.cumsum(is_b), np.cumsum(common)
+        at_a, at_b, group = through_a - is_a, through_b - is_b, through_group - common
+        of_unit = np.flatnonzero(good)[np.cumsum(is_unit) - is_unit]
+        link_a, link_b = ids_a[at_a], ids_b[at_b]
+        single = common & (words.length_a[link_a] == words.length_b[link_b])
         fast = single & (words.identity[link_a] == link_b)
-        self.good = np.concatenate([self.good, good])
-        self.stats = np.concatenate([self.stats, np.stack([per(ends_a), per(ends_b), per(common), per(cuts)], axis=1)])
+        per = [np.bincount(of_unit[chosen], minlength=count) for chosen in (is_a, is_b, common, cuts > 0)]
+        self.stats = np.concatenate([self.stats, np.stack([*per, ~good, edge], axis=1)])
         for kind, chosen, values in (("fast", fast, link_a), ("pair", ~fast, (link_a << 32) | link_b)):
             name, ends = "fast" if kind == "fast" else "pairs", getattr(self, f"{kind}_ends")
             values = values[chosen] if kind == "fast" else self._pair_numbers(values[chosen])
@@ -185,31 +201,31 @@ class Units:
             more = np.cumsum(np.bincount(of_unit[chosen], minlength=count))
             setattr(self, f"{kind}_ends", np.concatenate([ends, ends[-1] + more]))
         # tokens in the order of groups, A before B, each with what follows it
-        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-        place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")
-        place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True)[: len(ids_a)], np.append(group_b[1:] != group_b[:-1], True)[: len(ids_b)]
+        group_a, group_b = group[is_a], group[is_b]
+        before_b = np.concatenate([[0], through_b[common]])  # B tokens of earlier groups
+        place_a = np.arange(len(ids_a)) + before_b[group_a]
+        place_b = np.arange(len(ids_b)) + through_a[common][group_b]
         written = np.empty(len(ids_a) + len(ids_b), object)
-        written[place_a] = words.text_a[ids_a + last_a * len(words.a)]
-        written[place_b] = words.text_b[ids_b + last_b * len(words.b)]
-        tokens = np.cumsum(self.stats[-count:, 0] + self.stats[-count:, 1])
+        written[place_a] = words.text_a[ids_a + common[is_a] * len(words.a)]
+        written[place_b] = words.text_b[ids_b + common[is_b] * len(words.b)]
         written = written.tolist()
-        begin = 0
-        for end in tokens.tolist():
-            self.groups.append(b"".join(written[begin:end])[:-1])
-            begin = end
+        ends = np.cumsum(per[0] + per[1]).tolist()
+        self.groups += [b"".join(written[i:j])[:-1] for i, j in zip([0, *ends], ends)]
 
-    def numbers(self, units: list[str]) -> np.ndarray:
-        """The numbers of ``units``; unknown ones are learned first."""
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the units of each text; unknown ones are learned first."""
         if len(self.place) > UNITS:
-            self.clear()
+            self.forget()
+        units = list(chain.from_iterable(texts))
         found = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
             unknown = [units[k] for k in missing]
             self.learn(list(dict.fromkeys(unknown)))
             found[missing] = np.fromiter(map(self.place.__getitem__, unknown), np.int64, len(unknown))
-        return found
+        self.used = np.concatenate([self.used, np.zeros(len(self.stats) - len(self.used), np.int64)])
+        self.used += np.bincount(found, minlength=len(self.used))
+        return np.split(found, np.cumsum([len(x) for x in texts])[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -265,15 +281,19 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, file_a: str, file_b: st
 
 def _chunk(known: Units, ids: list, texts: list[str | None]) -> dict:
     words = known.words
-    cut = units_of if words.by_units else lambda text: [text]
-    units = [cut(t) if t else [] for t in texts]
-    flat = known.numbers(list(chain.from_iterable(units)))
-    numbers = np.split(flat, np.cumsum([len(x) for x in units])[:-1])
-    good = [bool(len(x)) and bool(known.good[x].all()) for x in numbers]
-    numbers = [x if ok else x[:0] for x, ok in zip(numbers, good)]
+    units = [(t.split(" ") if words.by_units else [t]) if t else [] for t in texts]
+    numbers = known.numbers(units)
+    if words.by_units:  # a blank beside other white space starts no token: such texts are cut with care
+        odd = [k for k, x in enumerate(numbers) if known.stats[x, 5].any()]
+        if odd:
+            for k in odd:
+                units[k] = units_of(texts[k])
+            numbers = known.numbers(units)
     stats = [known.stats[x].sum(axis=0) for x in numbers]
+    numbers = [x[:0] if s[4] else x for x, s in zip(numbers, stats)]
+    stats = [s[:4] * (s[4] == 0) for s in stats]
     groups = [hashlib.sha256(b";".join(map(known.groups.__getitem__, x.tolist()))).hexdigest() if len(x) else "" for x in numbers]
-    weight, used, local = _counted(np.concatenate(numbers), len(known.good))
+    weight, used, local = _counted(np.concatenate(numbers), len(known.stats))
     at, size = _ranges(known.pair_ends, used)
     pair_counts, pairs, pair_at = _counted(known.pairs[at], len(known.pair_names), np.repeat(weight, size))
     at, fast_size = _ranges(known.fast_ends, used)

@@ -247,11 +247,11 @@ def test_units_are_forgotten_and_learned_again(monkeypatch):
     known = alignment.known_units(f"{alignment.FOLDER}/byte_bpe_50k.json", f"{alignment.FOLDER}/piece_bpe_32k.model")
     assert known.words.by_units
     units = [u for t in odd_texts() if t for u in alignment.units_of(t)]
-    numbers = known.numbers(units)
+    numbers = known.numbers([units])[0]
     first = known.stats[numbers].tolist()
     monkeypatch.setattr(alignment, "UNITS", 0)
-    numbers = known.numbers(units[:50] + units)
-    assert known.stats[numbers].tolist()[50:] == first
+    numbers = known.numbers([units[:50], [], units])
+    assert len(numbers[1]) == 0 and known.stats[numbers[2]].tolist() == first
     assert [" " + " ".join(alignment.units_of(t)) for t in odd_texts() if t] == [" " + t for t in odd_texts() if t]
 
 
