@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notecode.llm.texts import map_rows
+from notecode.llm.texts import map_rows, slices
 from notecode.session import materialised
 
 FOLDER = "/opt/tokenizers"  # the same folder on every machine
-CHUNK = 8 << 20  # characters of the texts that share one row of links
-UNITS = 300_000  # units that a Python worker remembers
+CHUNK = 2 << 20  # bytes of the texts that share one row of links
+UNITS = 200_000  # units that a Python worker remembers
 SLICE = 16 << 10  # characters encoded at once
 #: How byte-level vocabularies cut a text before they merge (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -256,7 +256,7 @@ _COUNTS = "pairs array<long>, pair_counts array<long>, fast_ids array<long>, fas
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, file_a: str, file_b: str, chunk: int) -> DataFrame:
-    """One row for about ``chunk`` characters of texts: their figures, their units, and the links of those units.
+    """One row for about ``chunk`` bytes of texts: their figures, their units, and the links of those units.
 
     ``stats`` are four numbers for each text. ``units`` number the distinct units of the row;
     ``pair_at`` points into the distinct irregular ``pairs``, ``fast`` holds A ids of the identity map.
@@ -264,15 +264,8 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, file_a: str, file_b: st
 
     def run(batch):
         known = known_units(file_a, file_b)
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        start = 0
-        while start < len(ids):
-            end, size = start, 0
-            while end < len(ids) and (end == start or size + len(texts[end] or "") < chunk):
-                size += len(texts[end] or "")
-                end += 1
-            yield _chunk(known, ids[start:end], texts[start:end])
-            start = end
+        for part in slices(batch, 1, chunk):
+            yield _chunk(known, part.column(0).to_pylist(), part.column(1).to_pylist())
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = map_rows(chosen, run, f"{_DOCS}, {_LINKS}, {_COUNTS}")

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notecode.llm.texts import map_rows
+from notecode.llm.texts import map_rows, slices
 from notecode.session import materialised
 
 SHARD = 200_000  # postings of a shard, about
+PART = 1 << 20  # bytes of the texts whose terms are in memory at once
 FIRST_READ = 64  # entries of each list read at first; later reads double the depth
 #: Bytes that belong to a term: digits, letters and everything beyond ASCII; all others become blanks.
 _KEPT = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(128)) + bytes(range(128, 256))
@@ -36,21 +37,22 @@ def term_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(uid, id, n, terms, counts)``: one row for every input row, with a row number of its own."""
 
     def counted(batch):
-        sizes, terms, counts, ends = [], [], [], [0]
-        for raw in batch.column(1).to_pylist():
-            words = terms_of(raw or b"")
-            found = Counter(words)
-            sizes.append(len(words))
-            terms.extend(found)
-            counts.extend(found.values())
-            ends.append(len(terms))
-        offsets = pa.array(ends, pa.int32())
-        yield {
-            "id": batch.column(0),
-            "n": sizes,
-            "terms": pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary())),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
-        }
+        for part in slices(batch, 1, PART):
+            sizes, terms, counts, ends = [], [], [], [0]
+            for raw in part.column(1).to_pylist():
+                words = terms_of(raw or b"")
+                found = Counter(words)
+                sizes.append(len(words))
+                terms.extend(found)
+                counts.extend(found.values())
+                ends.append(len(terms))
+            offsets = pa.array(ends, pa.int32())
+            yield {
+                "id": part.column(0),
+                "n": sizes,
+                "terms": pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary())),
+                "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
+            }
 
     chosen = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
     return map_rows(chosen, counted, "id long, n long, terms array<binary>, counts array<long>").withColumn("uid", F.monotonically_increasing_id())

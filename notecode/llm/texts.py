@@ -115,6 +115,17 @@ def sequence_hash(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces whose texts (one ``column``) have about ``size`` bytes, one text at least."""
+    import pyarrow.compute as pc
+
+    through = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    ends = np.flatnonzero(np.diff(through // size)) + 1
+    for start, end in zip([0, *ends.tolist()], [*ends.tolist(), len(batch)]):
+        if start < end:
+            yield batch.slice(start, end - start)
+
+
 def map_rows(df: DataFrame, function, schema: str) -> DataFrame:
     """Apply ``function`` to each Arrow batch; it yields dicts of columns in the order of ``schema``.
 
