@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecode.functions.scores import post_processor
+from notecode.operators import blocks
 from notecode.operators.features import normalize_rows
 from notecode.operators.indexing import consecutive_merge
 from notecode.operators.matrix import (
@@ -32,6 +33,7 @@ from notecode.session import checkpointed
 
 # Solver names and numbers.
 SOLVERS = {"L2R_L2LOSS_SVC_DUAL": 1, "L2R_L1LOSS_SVC_DUAL": 3, "L1R_L2LOSS_SVC": 5, "L2R_LR_DUAL": 7}
+SMOOTH = ("L2R_L2LOSS_SVC_DUAL", "L2R_LR_DUAL")  # trained to a duality gap
 
 BLOCK_ENTRIES = 500_000  # most feature entries handled by one task as one block
 BLOCK_CELLS = 20_000_000  # most (entry or column) × label cells of one block
@@ -41,7 +43,11 @@ BOUND_ROUNDS = 4
 
 @dataclass(frozen=True)
 class Fit:
-    """Settings of one fit. ``tolerance`` is the gradient norm, relative to the first, that ends it."""
+    """Settings of one fit.
+
+    ``tolerance`` ends it: for the smooth solvers the duality gap as a share of the objective, for the two
+    others the length of a step as a share of the first one's.
+    """
 
     solver: str = "L2R_L2LOSS_SVC_DUAL"
     c_pos: float = 1.0
@@ -144,16 +150,10 @@ def _block_fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, target: np.
             fit,
         )
         return gather(alpha * target)
-    if fit.solver == "L2R_LR_DUAL":
-        slope, decay = 0.25 * largest * bound, 1.0
-        loss = lambda f: -cost * target / (1.0 + np.exp(np.clip(target * f, -500, 500)))
-    else:
-        slope, decay = 2.0 * largest * bound, 0.0 if fit.solver == "L1R_L2LOSS_SVC" else 1.0
-        loss = lambda f: -2.0 * cost * target * np.maximum(1.0 - target * f, 0.0)
-    step = 1.0 / max(slope + decay, 1e-12)
-    shrink = step if decay == 0.0 else 0.0
-    soft = (lambda w: np.sign(w) * np.maximum(np.abs(w) - shrink, 0.0)) if shrink else (lambda w: w)
-    return _nesterov(start, step, lambda w: decay * w + gather(loss(score(w))), soft, fit)
+    step = 1.0 / max(2.0 * largest * bound, 1e-12)
+    loss = lambda f: -2.0 * cost * target * np.maximum(1.0 - target * f, 0.0)
+    soft = lambda w: np.sign(w) * np.maximum(np.abs(w) - step, 0.0)
+    return _nesterov(start, step, lambda w: gather(loss(score(w))), soft, fit)
 
 
 def _fit_cluster(fit: Fit) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -180,7 +180,23 @@ def _fit_cluster(fit: Fit) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFram
 def train_linear(
     x: DataFrame, y: DataFrame, c: DataFrame, z: DataFrame, fit: Fit = Fit(), block_entries: int = BLOCK_ENTRIES
 ) -> DataFrame:
-    """Weights of every label of ``c``, each trained on the instances active in its cluster.
+    """Weights of every label of ``c``, each trained on the instances active in its cluster."""
+    if fit.solver in SMOOTH:
+        return sparsify(train_certified(x, y, c, z, fit, block_entries)[0], max(fit.threshold, 1e-300))
+    return _train_other(x, y, c, z, fit, block_entries)
+
+
+def train_certified(
+    x: DataFrame, y: DataFrame, c: DataFrame, z: DataFrame, fit: Fit = Fit(), block_entries: int = BLOCK_ENTRIES
+) -> tuple[DataFrame, DataFrame]:
+    """All weights of every label of ``c`` and the certificates (label_id, objective, gap, rounds), for smooth solvers."""
+    if fit.solver not in SMOOTH:
+        raise ValueError(f"{fit.solver} has no certificate; solvers with one: {SMOOTH}")
+    return blocks.train_certified(x, y, c, z, fit, block_entries, BLOCK_CELLS)
+
+
+def _train_other(x: DataFrame, y: DataFrame, c: DataFrame, z: DataFrame, fit: Fit, block_entries: int) -> DataFrame:
+    """The two solvers without a smooth loss and a squared norm.
 
     A cluster of up to ``block_entries`` feature entries, and not too many labels for them, is fitted
     in one task for all its labels. Entries and labels are counted first; larger clusters go to
@@ -246,7 +262,7 @@ def cluster_bounds(x: DataFrame, rounds: int = BOUND_ROUNDS) -> DataFrame:
 
 
 def train_distributed(x: DataFrame, rows: DataFrame, fit: Fit = Fit()) -> DataFrame:
-    """The same iteration as joins and sums over all labels at once: no task holds a cluster.
+    """The iteration of the two other solvers as joins and sums over all labels at once: no task holds a cluster.
 
     ``rows`` are training pairs (label_id, row_id, target) and the cluster ``code`` of the label, if there
     is more than one cluster. Each cluster has its own step, restarts the momentum of a label as the
@@ -264,8 +280,7 @@ def train_distributed(x: DataFrame, rows: DataFrame, fit: Fit = Fit()) -> DataFr
     if fit.solver == "L2R_L1LOSS_SVC_DUAL":
         size = F.col("bound")
     else:
-        decay = 0.0 if fit.solver == "L1R_L2LOSS_SVC" else 1.0
-        size = F.lit((0.25 if fit.solver == "L2R_LR_DUAL" else 2.0) * largest) * F.col("bound") + F.lit(decay)
+        size = F.lit(2.0 * largest) * F.col("bound")
     steps = bounds.select("code", (F.lit(1.0) / F.greatest(size, F.lit(1e-12))).alias("step"))
     labels = checkpointed(rows.select("code", "label_id").distinct().join(steps, "code"))
     descent = _dual_descent if fit.solver == "L2R_L1LOSS_SVC_DUAL" else _primal_descent
@@ -290,14 +305,8 @@ def _cost(fit: Fit) -> Column:
 
 
 def _primal_descent(x: DataFrame, rows: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
-    lasso = fit.solver == "L1R_L2LOSS_SVC"
-    logistic = fit.solver == "L2R_LR_DUAL"
-    decay = 0.0 if lasso else 1.0
     margin = F.col("target") * F.col("score")
-    if logistic:
-        slope = -_cost(fit) * F.col("target") / (F.lit(1.0) + F.exp(F.least(F.greatest(margin, F.lit(-500.0)), F.lit(500.0))))
-    else:
-        slope = F.lit(-2.0) * _cost(fit) * F.col("target") * F.greatest(F.lit(1.0) - margin, F.lit(0.0))
+    slope = F.lit(-2.0) * _cost(fit) * F.col("target") * F.greatest(F.lit(1.0) - margin, F.lit(0.0))
     # w is the current point, v the extrapolated one; both are sparse and start at zero
     state = first = None
     finished = []
@@ -316,9 +325,8 @@ def _primal_descent(x: DataFrame, rows: DataFrame, labels: DataFrame, fit: Fit)
             merged = state.join(gradient.withColumnRenamed("val", "g"), ["label_id", "col_id"], "full")
             merged = merged.select("label_id", "col_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("w", "v", "g")])
         merged = merged.join(labels.select("label_id", "step"), "label_id")
-        new = F.col("v") - F.col("step") * (F.lit(decay) * F.col("v") + F.col("g"))
-        if lasso:
-            new = F.signum(new) * F.greatest(F.abs(new) - F.col("step"), F.lit(0.0))
+        new = F.col("v") - F.col("step") * F.col("g")
+        new = F.signum(new) * F.greatest(F.abs(new) - F.col("step"), F.lit(0.0))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         change = F.col("_new") - F.col("w")
         moved = merged.withColumn("_new", new).select(

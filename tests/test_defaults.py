@@ -36,12 +36,13 @@ def test_trees_run_all_rounds(mocked):
 
 
 def test_models_are_fitted_to_the_end(mocked):
+    mocked.L.train_certified.return_value = MagicMock(), MagicMock()
     mocked.train_distributed(None, None)
     mocked.train_full_model_levels(None, None)
     mocked.grid_search(None, None)
     mocked.L.grid_search.call_args.args[1](10, 20, 1.0, 0.01)
     assert given(ranking.topk_matcher, mocked.R.topk_matcher, "k") == (10, 10)
-    calls = ((linear.train_distributed, mocked.L.train_distributed), (linear.train_model, mocked.L.train_model), (linear.train_linear, mocked.L.train_linear))
+    calls = ((linear.train_certified, mocked.L.train_certified), (linear.train_model, mocked.L.train_model), (linear.train_linear, mocked.L.train_linear))
     for operator, mock in calls:
         assert given(operator, mock, "fit")[0].max_iter == linear.Fit().max_iter == 100
 

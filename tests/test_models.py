@@ -233,7 +233,7 @@ def test_fit_reaches_the_optimum(spark, problem, solver):
         assert reported[j] == pytest.approx(mine)
 
 
-@pytest.mark.parametrize("solver", list(L.SOLVERS))
+@pytest.mark.parametrize("solver", [s for s in L.SOLVERS if s not in L.SMOOTH])
 def test_large_clusters_get_the_same_weights(spark, problem, solver):
     """Every cluster is over the limit, so no task sees one whole; the weights are those of the blocks."""
     x, y, code, z = _rows_of(problem)
@@ -245,6 +245,35 @@ def test_large_clusters_get_the_same_weights(spark, problem, solver):
     assert np.abs(a).max() > 0.01 and np.allclose(a, b, atol=1e-6)
 
 
+@pytest.mark.parametrize("solver", L.SMOOTH)
+def test_certificates_hold(spark, problem, solver):
+    """Clusters of many blocks and of one end with the gap asked for, near the same weights."""
+    x, y, code, z = _rows_of(problem)
+    c = spark.createDataFrame([(j, int(code[j])) for j in range(10)], "label_id long, code long")
+    yl, zl, xl = long(spark, y, "row_id", "label_id"), long(spark, z, "row_id", "code"), long(spark, x)
+    fit = L.Fit(solver, c_pos=2.0, threshold=0.0, max_iter=60, tolerance=1e-9)
+    found = {}
+    for entries in (250, 500_000):
+        w, notes = L.train_certified(xl.repartition(7), yl, c, zl, fit, block_entries=entries)
+        notes = {r["label_id"]: r for r in notes.collect()}
+        assert sorted(notes) == list(range(10))
+        assert all(-1e-9 <= r["gap"] <= 1e-9 * r["objective"] for r in notes.values())
+        found[entries] = dense(w, (12, 10), "col_id", "label_id")
+        reached = dict(L.objective(xl, L.training_rows(yl, c, zl), w, fit).collect())
+        assert all(reached[j] == pytest.approx(notes[j]["objective"]) for j in range(10))
+    assert np.allclose(found[250], found[500_000], atol=1e-3)
+
+
+def test_labels_in_parts_get_the_same_weights(spark, problem, monkeypatch):
+    x, y, code, z = _rows_of(problem)
+    c = spark.createDataFrame([(j, int(code[j])) for j in range(10)], "label_id long, code long")
+    yl, zl, xl = long(spark, y, "row_id", "label_id"), long(spark, z, "row_id", "code"), long(spark, x)
+    fit = L.Fit(threshold=0.0, max_iter=400, tolerance=1e-9)
+    whole = dense(L.train_linear(xl, yl, c, zl, fit), (12, 10), "col_id", "label_id")
+    monkeypatch.setattr(L, "BLOCK_CELLS", 1500)
+    assert np.allclose(whole, dense(L.train_linear(xl, yl, c, zl, fit), (12, 10), "col_id", "label_id"), atol=1e-3)
+
+
 def test_spectral_bound_covers_the_largest_eigenvalue(spark, problem):
     x, _ = problem
     top = np.linalg.eigvalsh(x.T @ x).max()
