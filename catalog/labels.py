@@ -301,7 +301,7 @@ v.VIEWS["fx_tree_counts"] = (
 )
 v.VIEWS["fx_tree_best"] = (
     "SELECT row_id, code, val / sum(val) OVER (PARTITION BY row_id) AS val FROM "
-    "(SELECT * FROM fx_tree_own QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY val DESC, code) <= 3)"
+    "(SELECT * FROM fx_tree_own QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY val DESC, code) <= 10)"
 )
 v.VIEWS["fx_tree_pred"] = (
     "SELECT row_id, label_id, round(sum(z.val * m.val), 9) AS score FROM fx_tree_best z JOIN fx_tree_counts m USING (code) GROUP BY row_id, label_id"
@@ -314,7 +314,7 @@ def label_tree_metrics(spark, d):
     x = v.x(spark, d)
     codes = I.balanced_ordinal_codes(E.pifa(y, x), 2, v.depth(spark, d), labels=v.labels(spark, d))
     counts = L.count_model(L.instance_clusters(y, codes), y)
-    pred = L.predict_counts(L.optimal_codes(y, codes, 3), counts, DEPTH, digits=9)
+    pred = L.predict_counts(L.optimal_codes(y, codes, 10), counts, DEPTH, digits=9)
     metrics = V.precision_recall_at_k(y, pred.drop("rank"), v.instances(spark, d), DEPTH)
     return rounded(metrics, "precision", "recall")
 
@@ -340,7 +340,7 @@ def training_objective(spark, d):
 
 
 v.VIEWS["fx_candidates"] = "SELECT row_id, label_id, val AS parent FROM fx_z_top JOIN fx_c USING (code)"
-v.VIEWS["fx_z_top"] = "SELECT * FROM fx_z QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY val DESC, code) <= 3"
+v.VIEWS["fx_z_top"] = "SELECT * FROM fx_z QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY val DESC, code) <= 10"
 v.VIEWS["fx_candidate_scores"] = (
     "SELECT c.row_id, c.label_id, parent, round(coalesce(s, 0), 6) AS score FROM fx_candidates c LEFT JOIN "
     "(SELECT row_id, label_id, sum(x.val * w.val) AS s FROM fx_candidates JOIN fx_x x USING (row_id) JOIN fx_w w USING (label_id, col_id) GROUP BY row_id, label_id) "
@@ -349,7 +349,7 @@ v.VIEWS["fx_candidate_scores"] = (
 
 
 def _top_clusters(spark, d):
-    return R.topk_matcher(v.z(spark, d), 3).select("row_id", "code", "val")
+    return R.topk_matcher(v.z(spark, d)).select("row_id", "code", "val")
 
 
 def _ranked_candidates_sql(score: str) -> str:
@@ -394,7 +394,7 @@ BEAM_SQL = (
 )
 v.VIEWS["fx_beam"] = (
     "SELECT row_id, label_id, score FROM (SELECT row_id, label_id, round(exp(-pow(greatest(1 - score / 1000, 0), 3)), 6) AS score FROM fx_root) "
-    "QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, label_id) <= 2"
+    "QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, label_id) <= 10"
 )
 
 
@@ -406,12 +406,12 @@ def _scaled_model(spark, d):
 
 @query(BEAM_SQL)
 def predict_beam(spark, d):
-    return L.predict_beam(v.x(spark, d), _scaled_model(spark, d), v.instances(spark, d), beam=2, k=10, digits=6)
+    return L.predict_beam(v.x(spark, d), _scaled_model(spark, d), v.instances(spark, d), k=10, digits=6)
 
 
 @query(BEAM_SQL)
 def predict_beam_blocks(spark, d):
-    return L.predict_beam(v.x(spark, d), _scaled_model(spark, d), v.instances(spark, d), beam=2, k=10, blocks=True, digits=6)
+    return L.predict_beam(v.x(spark, d), _scaled_model(spark, d), v.instances(spark, d), k=10, blocks=True, digits=6)
 
 
 @query(

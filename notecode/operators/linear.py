@@ -26,6 +26,7 @@ from notecode.operators.matrix import (
     matmul,
     score_all,
     score_pairs,
+    top_products,
 )
 from notecode.operators.ranking import topk_per_row
 from notecode.operators.skew import hottest, skew_join
@@ -706,8 +707,13 @@ def count_model(z: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def predict_counts(codes: DataFrame, counts: DataFrame, k: int | None = None, weighted: bool = True, digits: int | None = None) -> DataFrame:
-    """Labels by the distribution of each instance's clusters, weighted by the cluster scores or not."""
+    """Labels by the distribution of each instance's clusters, weighted by the cluster scores or not.
+
+    With ``k`` the product of scores and distributions is never built (``matrix.top_products``).
+    """
     z = codes if weighted else codes.withColumn("val", F.lit(1.0))
+    if k is not None:
+        return top_products(z, counts, k, digits)
     scores = matmul(z, counts, "row_id", "code", "label_id").withColumnRenamed("val", "score")
     if digits is not None:
         scores = scores.withColumn("score", F.round("score", digits))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,77 @@ def score_pairs(x: DataFrame, w: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.join(scores, ["row_id", "label_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def top_products(z: DataFrame, m: DataFrame, k: int, digits: int | None = None, block_rows: int = 1000) -> DataFrame:
+    """The ``k`` best labels of every instance in ``Z·M``: (row_id, label_id, score, rank), without the product.
+
+    ``z`` is (row_id, code, val) and ``m`` (code, label_id, val), of any sign. Every code has its
+    labels listed once, best first. Blocks of about ``block_rows`` instances, dealt by the best code so that
+    they share lists, meet the lists of their codes. For each instance the lists are read in step until
+    the sum of the next values cannot reach the ``k``-th score (threshold algorithm); scores of labels
+    met are looked up in all lists. So only ``k`` rows of an instance leave its block. ``digits`` rounds
+    scores before they are ranked; equal scores are ranked by label. A label that
+    none of the instance's codes lists is no result.
+    """
+    kinds = {n: d.schema[n].dataType.simpleString() for n, d in (("row_id", z), ("code", z), ("label_id", m))}
+    z = z.select("row_id", "code", F.col("val").cast("double").alias("val"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("val")).alias("less"), "label_id")))
+    lists = m.groupBy(F.col("code").cast(kinds["code"]).alias("code")).agg(listed.alias("entries"))
+    lists = lists.select("code", F.transform("entries", lambda e: e["label_id"]).alias("labels"), F.transform("entries", lambda e: -e["less"]).alias("vals"))
+    best = z.groupBy("row_id").agg(F.max_by("code", F.struct("val", "code")).alias("_best"))
+    sizes = best.groupBy("_best").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_pieces"))
+    dealt = skew_join(best, sizes, ["_best"]).select("row_id", "_best", F.pmod(F.xxhash64("row_id"), F.col("_pieces")).cast("int").alias("_piece"))
+    # rare best codes share blocks
+    dealt = dealt.select("row_id", F.when(F.col("_piece") > 0, F.xxhash64("_best")).otherwise(F.pmod(F.xxhash64("_best"), F.lit(64))).alias("_group"), "_piece")
+    rows = z.join(dealt, "row_id")
+    wanted = rows.select("_group", "_piece", "code").distinct().join(lists, "code")
+    left = rows.select(*[F.col(n).alias(n) for n in ("_group", "_piece", "row_id", "code", "val")])
+    right = wanted.select(*[F.col(n).alias(n) for n in ("_group", "_piece", "code", "labels", "vals")])
+
+    def found(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or held.empty:
+            return pd.DataFrame()
+        names = np.unique(np.concatenate([np.asarray(x) for x in held["labels"]]))
+        place, order, values = {}, [], []
+        whole = np.zeros((len(held), len(names)))
+        for i, (code, labels, vals) in enumerate(zip(held["code"], held["labels"], held["vals"])):
+            place[code] = i
+            order.append(np.searchsorted(names, np.asarray(labels)))
+            values.append(np.asarray(vals, np.float64))
+            whole[i, order[i]] = values[i]
+        out = []
+        for row, part in own.sort_values(["row_id", "code"]).groupby("row_id", sort=False):
+            known = [(place[c], v) for c, v in zip(part["code"], part["val"]) if c in place]
+            if not known:
+                continue
+            at, share = np.array([i for i, _ in known]), np.array([v for _, v in known])
+            depth = max(4 * k, 16)
+            while True:
+                met = np.unique(np.concatenate([order[i][:depth] for i in at]))
+                score = share @ whole[np.ix_(at, met)]
+                score = score if digits is None else np.round(score, digits)
+                open_ = [(i, v) for i, v in known if depth < len(values[i])]
+                # what a label not met yet can have at most; a list that lacks it gives 0
+                rest = sum(max(0.0, v * values[i][depth] if v > 0 else v * values[i][-1]) for i, v in open_)
+                top = np.lexsort((met, -score))[:k]
+                if not open_ or (len(top) == k and score[top[-1]] > rest + 10.0 ** -(digits or 12)):
+                    break
+                depth *= 4
+            out.append((row, names[met[top]], score[top]))
+        if not out:
+            return pd.DataFrame()
+        return pd.DataFrame(
+            {
+                "row_id": np.repeat([r for r, _, _ in out], [len(s) for _, _, s in out]),
+                "label_id": np.concatenate([n for _, n, _ in out]),
+                "score": np.concatenate([s for _, _, s in out]),
+                "rank": np.concatenate([np.arange(1, len(s) + 1) for _, _, s in out]),
+            }
+        )
+
+    schema = f"row_id {kinds['row_id']}, label_id {kinds['label_id']}, score double, rank int"
+    return left.groupBy("_group", "_piece").cogroup(right.groupBy("_group", "_piece")).applyInPandas(found, schema)
+
+
 def score_all(x: DataFrame, w: DataFrame, instances: DataFrame, labels: DataFrame) -> DataFrame:
     """``X·W`` for every instance and every label, zeros included: (row_id, label_id, score).
 

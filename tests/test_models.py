@@ -9,6 +9,7 @@ from notecode.operators import features as X
 from notecode.operators import indexing as I
 from notecode.operators import linear as L
 from notecode.operators import matrix as M
+from notecode.operators import ranking as R
 from notecode.operators.decomposition import project, truncated_svd
 from notecode.operators.skew import hot_keys
 
@@ -274,6 +275,18 @@ def test_labels_in_parts_get_the_same_weights(spark, problem, monkeypatch):
     assert np.allclose(whole, dense(L.train_linear(xl, yl, c, zl, fit), (12, 10), "col_id", "label_id"), atol=1e-3)
 
 
+def test_top_products_equal_the_whole_product(spark):
+    rng = np.random.default_rng(9)
+    z, m = np.round(rng.normal(size=(60, 7)) * (rng.random((60, 7)) < 0.6), 2), np.round(rng.pareto(1, (7, 300)) * (rng.random((7, 300)) < 0.7), 2)
+    m[5] -= 1.0
+    m[6] = 0.5  # ties
+    zl, ml = long(spark, z, "row_id", "code"), long(spark, m, "code", "label_id")
+    for block_rows in (3, 1000):
+        got = M.top_products(zl, ml, 5, 6, block_rows).collect()
+        want = R.topk_per_row(M.matmul(zl, ml, "row_id", "code", "label_id").withColumn("score", F.round("val", 6)).drop("val"), 5).collect()
+        assert sorted((r["row_id"], r["rank"], r["label_id"], r["score"]) for r in got) == sorted((r["row_id"], r["rank"], r["label_id"], r["score"]) for r in want)
+
+
 def test_spectral_bound_covers_the_largest_eigenvalue(spark, problem):
     x, _ = problem
     top = np.linalg.eigvalsh(x.T @ x).max()
