@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,13 +23,29 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),  # a match cannot start inside digits, nor end there
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _DIGITS = re.compile(r"[0-9]")
-_HINTS = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile(r"[0-9][\x20-]?[0-9]"), "phone": re.compile(r"\+[0-9]")}
+_HINTS = {"ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile(r"[0-9][\x20-]?[0-9]"), "phone": re.compile(r"\+[0-9]")}
+
+
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost non-overlapping addresses, found from each at-sign to both sides in linear time."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        size = at - last - len(text[last:at].rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if size else None
+        last = at + 1
+        if domain:
+            yield at - size, domain.end()
+            last = domain.end()
+        at = text.find("@", last)
 
 
 def luhn(digits: str) -> bool:
@@ -37,8 +54,6 @@ def luhn(digits: str) -> bool:
 
 
 def _valid(kind: str, found: str) -> bool:
-    if kind == "email":
-        return True
     if kind == "ip":
         return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
     digits = "".join(_DIGITS.findall(found))
@@ -49,8 +64,8 @@ def _valid(kind: str, found: str) -> bool:
 
 def detect(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind, without those that fail its test."""
-    spans = []
-    for kind in KINDS:
+    spans = [("email", i, j) for i, j in emails(text)]
+    for kind in KINDS[1:]:
         if _HINTS[kind].search(text):
             spans += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m.group())]
     return spans
@@ -163,22 +178,25 @@ def plain_digits(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-_NAME = r"[A-Za-z0-9._%+-]+"
-_PART = r"[A-Za-z0-9-]+"
-_IN_BRACKETS = r"\s{0,2}[\[({<]\s?(?:%s)\s?[\])}>]\s{0,2}"
-_AT = f"(?:{_IN_BRACKETS % 'at|@|AT|At'})"
-_DOT = f"(?:{_IN_BRACKETS % r'dot|DOT|Dot|punkt|point|punto|\.'})"
-_WIDE_AT = r"(?:\x20{1,2}(?:at|AT)\x20{1,2}|\x20{0,2}@\x20{0,2}|[-_](?:at|AT)[-_])"
-_WIDE_DOT = r"(?:\x20{1,2}(?:dot|DOT)\x20{1,2}|[-_](?:dot|DOT)[-_])"
+_IN_BRACKETS = r"\s{0,2}[\[({<]\s?(?i:%s)\s?[\])}>]\s{0,2}"
+_AT = f"(?:{_IN_BRACKETS % 'at|arroba|@'})"
+_DOT = f"(?:{_IN_BRACKETS % r'dot|punkt|point|punto|\.'})"
+_AT_WORD, _DOT_WORD = "(?i:at|arroba)", "(?i:dot|punkt|point|punto)"
+_WIDE_AT = rf"(?:\x20{{1,2}}{_AT_WORD}\x20{{1,2}}|\x20{{0,2}}@\x20{{0,2}}|[-_]{_AT_WORD}[-_])"
+_WIDE_DOT = rf"(?:\x20{{1,2}}{_DOT_WORD}\x20{{1,2}}|[-_]{_DOT_WORD}[-_])"
+# names stop before a disguised sign, and repeats give nothing back: a text is cut in one way only
+_NAME = rf"(?:(?![-_](?:{_AT_WORD}|{_DOT_WORD})[-_])[A-Za-z0-9._%+-])++"
+_PART = rf"(?:(?![-_]{_DOT_WORD}[-_])[A-Za-z0-9-])++"
 # a bracketed sign is a disguise by itself; the bare word "at" only together with a bare or bracketed "dot"
 _DISGUISED = [
-    re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:(?:{_DOT}|{_WIDE_DOT}){_NAME})*)({_AT}|\s?@\s?)({_PART}(?:(?:{_DOT}|{_WIDE_DOT}|\.){_PART})+)"),
-    re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:(?:{_DOT}|{_WIDE_DOT}){_NAME})*)({_WIDE_AT})({_PART}(?:(?:\.{_PART})*(?:{_DOT}|{_WIDE_DOT}){_PART})+(?:\.{_PART})*)"),
+    re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:(?:{_DOT}|{_WIDE_DOT}){_NAME})*+)({_AT}|\s?@\s?)({_PART}(?:(?:{_DOT}|{_WIDE_DOT}|\.){_PART})++)"),
+    re.compile(rf"(?<![A-Za-z0-9._%+-])({_NAME}(?:(?:{_DOT}|{_WIDE_DOT}){_NAME})*+)({_WIDE_AT})({_PART}(?:(?:\.{_PART})*+(?:{_DOT}|{_WIDE_DOT}){_PART})++(?:\.{_PART})*+)"),
 ]
 _DOTS = re.compile(f"{_DOT}|{_WIDE_DOT}")
-_DISGUISE_HINT = re.compile(r"[\[({<]\s?(?:at|@|dot|punkt|point|punto|\.)\s?[\])}>]|[\x20_-]dot[\x20_-]|\s@|@\s", re.IGNORECASE)
+_DISGUISE_HINT = re.compile(r"[\[({<]\s?(?:at|arroba|@|dot|punkt|point|punto|\.)\s?[\])}>]|[\x20_-](?:dot|punkt|point|punto)[\x20_-]|\s@|@\s", re.IGNORECASE)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:{_DOT}|{_WIDE_DOT})(?=[0-9])")
-NEAR = 400  # characters on each side of a hint that are searched for a disguise
+NEAR = 400  # characters on each side of a hint that are searched for a disguise, and on to the next white space
+_SPACE = re.compile(r"\s")
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
@@ -187,9 +205,15 @@ def _windows(text: str) -> list[tuple[int, int]]:
     for m in _DISGUISE_HINT.finditer(text):
         i, j = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
         if parts and i <= parts[-1][1]:
-            parts[-1] = (parts[-1][0], max(j, parts[-1][1]))
+            if j > parts[-1][1]:
+                parts[-1] = (parts[-1][0], j)
         else:
             parts.append((i, j))
+    for k, (i, j) in enumerate(parts):
+        low, space = parts[k - 1][1] if k else 0, _SPACE.search(text, j)
+        while i > low and not text[i - 1].isspace():
+            i -= 1
+        parts[k] = (i, space.start() if space else len(text))
     return parts
 
 
@@ -270,14 +294,26 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             found |= {tape.source(s) for s in detect(tape.text)}
         for trial in trial_numbers(plain_glyphs(start)):
             found |= {trial.source(s) for s in detect(trial.text) if s[0] != "email"}
+            marked = plain_marks(trial)
+            if marked is not trial:
+                found |= {marked.source(s) for s in detect(marked.text) if s[0] == "email"}
     new: list[Span] = []
+    plain_of = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}  # none overlap within a kind
+    new_of: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+
+    def meeting(held: list[tuple[int, int]], i: int, j: int) -> list[tuple[int, int]]:
+        low = bisect_right(held, (i, i))
+        low -= low > 0 and held[low - 1][1] > i
+        return held[low : bisect_left(held, (j, j))]
+
     for kind, i, j in sorted(found, key=lambda s: (s[1] - s[2], s)):
         while i < j and text[i].isspace():
             i += 1
         while i < j and text[j - 1].isspace():
             j -= 1
-        meets = [(a, b) for k, a, b in base if k == kind and i < b and a < j]
-        if all(i <= a and b <= j and (i, j) != (a, b) for a, b in meets) and not any(k == kind and i < b and a < j for k, a, b in new):
+        meets = meeting(plain_of[kind], i, j)
+        if all(i <= a and b <= j and (i, j) != (a, b) for a, b in meets) and not meeting(new_of[kind], i, j):
+            insort(new_of[kind], (i, j))
             new.append((kind, i, j))
     order = {kind: k for k, kind in enumerate(KINDS)}
     return base, sorted([*base, *new], key=lambda s: (order[s[0]], s[1], s[2]))

@@ -554,3 +554,43 @@ def test_language_edges(spark):
     assert got == [(0, "de", True), (1, "und", False), (2, "und", False), (3, "en", True), (3, "en", True), (4, "de", False)]
     assert {r["lang_pred"] for r in language.identify(table(spark, rows), language.learn(learned.limit(0))).collect()} == {"und"}
     assert language.identify(table(spark, []), model).count() == 0
+
+
+# ---- op2: time and reach
+
+
+def _seconds(text):
+    import time
+
+    start = time.time()
+    found = pii.find(text)
+    return time.time() - start, found
+
+
+def test_hostile_texts_take_linear_time():
+    chain = "x " + "a-dot-" * 40 + "b dot c"
+    run, digits = "a" * 1_000_000 + " @ b@c.de", "1" * 1_000_000 + " 1.2.3.4"
+    many = " ".join(f"u{k}@h{k}.org" for k in range(50_000))
+    for text, count in ((chain, 0), (run, 1), (digits, 1), (many, 50_000)):
+        took, (base, _) = _seconds(text)
+        assert took < 8 and len(base) == count
+
+
+def test_addresses_from_the_at_sign_equal_the_pattern():
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab@.-_ %\n") for _ in range(rng.randrange(1, 40)))
+        assert list(pii.emails(text)) == [m.span() for m in pattern.finditer(text)], text
+        text = "".join(rng.choice("12. x") for _ in range(rng.randrange(1, 40)))
+        ip = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+        assert [m.span() for m in pii.PATTERNS["ip"].finditer(text)] == [m.span() for m in ip.finditer(text)], text
+
+
+@pytest.mark.parametrize("text", ["john At example Dot com", "john arroba example punto com", "n" * 450 + " (at) example (dot) com", "a-dot-b-at-example-dot-com"])
+def test_more_disguises_are_found_whole(text):
+    assert ("email", 0, len(text)) in pii.find(f"{text}\nnext line")[1]
+
+
+def test_spelled_digits_are_part_of_an_address():
+    assert ("email", 5, 31) in pii.find("john one two at example dot com")[1]
