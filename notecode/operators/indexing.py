@@ -9,7 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +20,11 @@ from pyspark.sql import functions as F
 from notecode.operators.decomposition import random_normal
 from notecode.operators.features import normalize_rows
 from notecode.operators.ranking import ordinal_rank
-from notecode.operators.sampling import seeded_hash
+from notecode.operators.sampling import hash_of, seeded_hash
 from notecode.operators.skew import hot_keys, rank_in_groups, skew_join, top_in_groups
-from notecode.session import checkpointed
+from notecode.session import checkpointed, materialised
 
+NODE_ENTRIES = 500_000  # most feature entries and labels of a node that is split in one task
 SCORE_DIGITS = 6  # scores are rounded before they are ranked, so that summation order cannot matter
 
 
@@ -43,20 +47,103 @@ def balanced_2means(
     seed: int = 0,
     spherical: bool = False,
     labels: DataFrame | None = None,
+    node_entries: int = NODE_ENTRIES,
 ) -> DataFrame:
     """Split the labels ``depth`` times into a left half of ⌊n/2⌋ and a right half.
 
     All nodes of a level are split in the same jobs. A node starts from two random labels; then the
     direction between the two halves' means (or, ``spherical``, between their unit sums) scores
     every label, and the halves are taken in score order until they no longer change.
+
+    Nodes are counted first: one of up to ``node_entries`` feature entries is split down to the last
+    level in one task; the larger ones above, at most a few levels, are split by joins and sums.
     """
     labels = labels_of(features) if labels is None else labels.select("label_id")
-    n_labels = labels.count()
-    state = labels.select("label_id", F.lit(1).cast("long").alias("node"), F.col("label_id").alias("place"))
+    lengths = features.groupBy("label_id").agg(F.count("*").alias("_n"))
+    first = labels.join(lengths, "label_id", "left").select("label_id", (F.coalesce("_n", F.lit(0)) + 1).alias("_n"))
+    state = materialised(first.select("label_id", F.lit(1).cast("long").alias("node"), F.col("label_id").alias("place"), "_n"), "state")
+    done = []
     for level in range(depth):
-        largest = -(-n_labels // 2**level)
-        state = _split_level(features, checkpointed(state), largest, max_iter, seed, spherical)
-    return state.select("label_id", (F.col("node") - F.lit(2**depth)).cast("long").alias("code"))
+        sizes = state.groupBy("node").agg(F.sum("_n").alias("_entries"), F.count("*").alias("_labels"))
+        sizes = materialised(sizes, "sizes")  # a row for each node
+        small = sizes.filter(F.col("_entries") <= node_entries).select("node")
+        done.append(_split_nodes(features, state.join(small, "node", "left_semi"), depth - level, max_iter, seed, spherical))
+        large = sizes.filter(F.col("_entries") > node_entries)
+        largest = large.agg(F.max("_labels")).first()[0]
+        if largest is None:
+            break
+        kept = checkpointed(state.join(large.select("node"), "node", "left_semi").select("label_id", "node", "place"))
+        split = _split_level(features, kept, largest, max_iter, seed, spherical)
+        state = materialised(split.join(first, "label_id").select("label_id", "node", "place", "_n"), "state")
+    else:
+        done.append(state.select("label_id", "node"))
+    return reduce(DataFrame.unionByName, done).select("label_id", (F.col("node") - F.lit(2**depth)).cast("long").alias("code"))
+
+
+def _split_nodes(features: DataFrame, state: DataFrame, levels: int, max_iter: int, seed: int, spherical: bool) -> DataFrame:
+    """All ``levels`` splits of nodes that fit in a task each: (label_id, node)."""
+    rows = state.join(features, "label_id", "left").select("node", "label_id", "place", "col_id", "val")
+    kind = state.schema["label_id"].dataType.simpleString()
+    return rows.groupBy("node").applyInPandas(_subtree(levels, max_iter, seed, spherical), f"label_id {kind}, node long")
+
+
+def _subtree(levels: int, max_iter: int, seed: int, spherical: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        heads = rows.drop_duplicates("label_id").sort_values(["place", "label_id"])
+        ids = heads["label_id"].to_numpy()
+        known = rows[rows["col_id"].notna()].sort_values(["label_id", "col_id"])
+        at, cols = pd.Index(ids).get_indexer(known["label_id"]), pd.factorize(known["col_id"])[0]
+        vals, width = known["val"].to_numpy(np.float64), int(cols.max()) + 1 if len(cols) else 1
+        order = np.argsort(at, kind="stable")
+        at, cols, vals = at[order], cols[order], vals[order]
+        ends = np.searchsorted(at, np.arange(len(ids) + 1))
+        out = np.empty(len(ids), np.int64)
+        todo = [(int(rows["node"].iloc[0]), np.arange(len(ids)), levels)]
+        while todo:
+            node, members, left = todo.pop()
+            if left == 0:
+                out[members] = node
+                continue
+            side, members = _halves(node, members, ids, (ends, cols, vals, width), max_iter, seed, spherical)
+            todo += [(2 * node + s, members[side == bool(s)], left - 1) for s in (0, 1) if (side == bool(s)).any()]
+        return pd.DataFrame({"label_id": ids, "node": out})
+
+    return run
+
+
+def _halves(node: int, members: np.ndarray, ids: np.ndarray, entries: tuple, max_iter: int, seed: int, spherical: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The members of a node in their final order, and which of them go right."""
+    n, (ends, cols, vals, width) = len(members), entries
+    side = np.arange(n) >= n // 2
+    if n < 2:
+        return side, members
+    size = ends[members + 1] - ends[members]
+    place = np.repeat(ends[members] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    owner, col, val = np.repeat(np.arange(n), size), cols[place], vals[place]
+    lots = np.array([hash_of(f"{node}/{ids[k]}", seed) for k in members.tolist()], np.int64)
+    low, high = np.lexsort((ids[members], lots))[:2]
+    weight = np.zeros(n)
+    weight[low], weight[high] = -1.0, 1.0
+    rank = np.arange(n)
+    for step in range(max_iter):
+        if step:
+            weight = np.where(side, 1.0, -1.0)
+            for s in (False, True):
+                part = np.bincount(col, np.where(side[owner] == s, val, 0.0), width)
+                total = np.sqrt((part * part).sum()) if spherical else float((side == s).sum())
+                weight[side == s] /= total if total else 1.0
+        centre = np.bincount(col, val * weight[owner], width)
+        score = np.round(np.bincount(owner, val * centre[col], n), SCORE_DIGITS)
+        order = np.lexsort((ids[members], score))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        new = rank >= n // 2
+        same = (new == side).all()
+        side = new
+        if same:
+            break
+    order = np.argsort(rank)
+    return side[order], members[order]
 
 
 def balanced_skmeans(features: DataFrame, depth: int, max_iter: int = 20, seed: int = 0, labels: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def seeded_hash(key: Column, seed: int | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def hash_of(key: str, seed: int | str) -> int:
+    """``seeded_hash`` of one key, inside a task."""
+    return int(hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:8], 16)
+
+
 def split_train_test(
     df: DataFrame, fraction: float = 0.66, seed: int = 42, key: str = "row_id", exact: bool = False
 ) -> tuple[DataFrame, DataFrame]:

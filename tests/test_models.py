@@ -166,6 +166,16 @@ def test_two_means_separates_directions(spark):
     assert same == codes
 
 
+@pytest.mark.parametrize("spherical", [False, True])
+def test_nodes_split_in_a_task_equal_those_split_by_joins(spark, spherical):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.random((41, 6)) * (rng.random((41, 6)) < 0.5), 3)
+    features, labels = long(spark, x, "label_id", "col_id"), spark.range(45).withColumnRenamed("id", "label_id")
+    whole = dict(I.balanced_2means(features, 2, 6, 3, spherical, labels).collect())
+    assert len(whole) == 45 and sorted(np.bincount(list(whole.values()))) == [11, 11, 11, 12]
+    assert whole == dict(I.balanced_2means(features, 2, 6, 3, spherical, labels, node_entries=90).collect())
+
+
 def test_uniform_codes_reach_the_upper_bin_at_the_maximum_only(spark):
     features = spark.createDataFrame([(i, 0, float(i + 1)) for i in range(5)], "label_id long, col_id long, val double")
     codes = dict(I.uniform_codes(features, 2, 1).collect())
