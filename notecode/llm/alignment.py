@@ -26,8 +26,8 @@ from notecode.llm.texts import map_rows, slices
 from notecode.session import materialised
 
 FOLDER = "/opt/tokenizers"  # the same folder on every machine
-CHUNK = 2 << 20  # bytes of the texts that share one row of links
-UNITS = 200_000  # units that a Python worker remembers
+CHUNK = 1 << 20  # bytes of the texts that share one row of links
+UNITS = 120_000  # units that a Python worker remembers
 SLICE = 16 << 10  # characters encoded at once
 #: How byte-level vocabularies cut a text before they merge (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
