@@ -26,8 +26,8 @@ from notecode.llm.texts import map_rows, slices
 from notecode.session import materialised
 
 FOLDER = "/opt/tokenizers"  # the same folder on every machine
-CHUNK = 1 << 20  # bytes of the texts that share one row of links
-UNITS = 120_000  # units that a Python worker remembers
+CHUNK = 1 << 19  # bytes of the texts that share one row of links
+UNITS = 100_000  # units that a Python worker remembers
 SLICE = 16 << 10  # characters encoded at once
 #: How byte-level vocabularies cut a text before they merge (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -250,15 +250,26 @@ def _counted(values: np.ndarray, count: int, weight: np.ndarray | None = None) -
     return sums[used], used, place[values]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in the fewest bytes each, after a byte that says how many these are."""
+    values = np.asarray(values, np.int64)
+    size = next(n for n in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << (8 * n) - (n == 8))
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 _DOCS = "doc_ids array<long>, stats array<long>, groups array<string>"
-_LINKS = "unit_ends array<long>, units array<int>, pair_ends array<long>, pair_at array<int>, fast_ends array<long>, fast array<int>"
+_LINKS = "unit_counts binary, units binary, pair_sizes binary, pair_at binary, fast_sizes binary, fast binary"
 _COUNTS = "pairs array<long>, pair_counts array<long>, fast_ids array<long>, fast_counts array<long>"
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, file_a: str, file_b: str, chunk: int) -> DataFrame:
     """One row for about ``chunk`` bytes of texts: their figures, their units, and the links of those units.
 
-    ``stats`` are four numbers for each text. ``units`` number the distinct units of the row;
+    ``stats`` are four numbers for each text. ``units`` number the distinct units of the row (packed);
     ``pair_at`` points into the distinct irregular ``pairs``, ``fast`` holds A ids of the identity map.
     """
 
@@ -293,17 +304,16 @@ def _chunk(known: Units, ids: list, texts: list[str | None]) -> dict:
     fast = known.fast[at]
     vector = np.bincount(fast, np.repeat(weight, fast_size), len(words.a)).astype(np.int64)  # a place for each A id
     fast_ids = np.flatnonzero(vector)
-    ends = lambda sizes: np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     columns = {
         "doc_ids": ids,
         "stats": np.concatenate(stats),
         "groups": groups,
-        "unit_ends": ends([len(x) for x in numbers]),
-        "units": local,
-        "pair_ends": ends(size),
-        "pair_at": pair_at,
-        "fast_ends": ends(fast_size),
-        "fast": fast,
+        "unit_counts": _packed([len(x) for x in numbers]),
+        "units": _packed(local),
+        "pair_sizes": _packed(size),
+        "pair_at": _packed(pair_at),
+        "fast_sizes": _packed(fast_size),
+        "fast": _packed(fast),
         "pairs": known.pair_names[pairs],
         "pair_counts": pair_counts,
         "fast_ids": (fast_ids << 32) | words.identity[fast_ids],
@@ -358,16 +368,20 @@ def align(
     def finished(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("at").to_numpy(), kind="stable")
         pairs, total = right.column("pair").to_numpy()[order], right.column("total").to_numpy()[order]
-        row = {name: left.column(name).combine_chunks().flatten() for name in left.column_names if name != "chunk"}
-        value = {name: row[name].to_numpy(zero_copy_only=False) for name in row if name not in ("doc_ids", "groups")}
+        row = {name: left.column(name).combine_chunks().flatten() for name in ("doc_ids", "stats", "groups")}
+        value = {name.split()[0]: _unpacked(left.column(name.split()[0])[0].as_py()) for name in _LINKS.split(", ")}
         is_best = (total == top[pairs & 0xFFFFFFFF]).astype(np.int64)
-        of_unit = lambda ends, values: np.diff(np.concatenate([[0], np.cumsum(values)])[ends])
-        at, fast_at = value["pair_at"], value["fast"]
-        sums = of_unit(value["pair_ends"], total[at]) + of_unit(value["fast_ends"], of_fast[fast_at])
-        bests = of_unit(value["pair_ends"], is_best[at]) + of_unit(value["fast_ends"], fast_best[fast_at])
-        stats = value["stats"].reshape(-1, 4)
+
+        def summed_by(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+            through = np.concatenate([[0], np.cumsum(values)])
+            return np.diff(through[np.concatenate([[0], np.cumsum(sizes)])])
+
+        at, fast_at, units = value["pair_at"], value["fast"], value["units"]
+        sums = summed_by(value["pair_sizes"], total[at]) + summed_by(value["fast_sizes"], of_fast[fast_at])
+        bests = summed_by(value["pair_sizes"], is_best[at]) + summed_by(value["fast_sizes"], fast_best[fast_at])
+        stats = row["stats"].to_numpy(zero_copy_only=False).reshape(-1, 4)
         columns = {"doc_id": row["doc_ids"], "n_a": stats[:, 0], "n_b": stats[:, 1], "n_groups": stats[:, 2], "n_links": stats[:, 3]}
-        columns |= {"n_best": of_unit(value["unit_ends"], bests[value["units"]]), "count_sum": of_unit(value["unit_ends"], sums[value["units"]])}
+        columns |= {"n_best": summed_by(value["unit_counts"], bests[units]), "count_sum": summed_by(value["unit_counts"], sums[units])}
         columns["groups_sha256"] = row["groups"]
         return pa.table(columns)
 
