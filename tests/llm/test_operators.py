@@ -478,6 +478,25 @@ def test_near_against_brute_force(spark):
     assert near.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_parity_sketch_never_rules_out_a_similar_pair(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, n in enumerate([1, 2, 5, 30, 300, 3000, 20_000]):
+        for shared in (0.5, 0.75, 0.86, 1.0):  # of each set; 6/7 of it is a similarity of 75 %
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            other = rng.integers(0, 2**63, n - int(n * shared)).astype(np.uint64)
+            b = np.concatenate([a[: int(n * shared)], other])
+            similar = 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+            odd = [near.parities(v).view(np.int64).tolist() for v in (a, b)]
+            rows.append((n, similar, *odd[0], *odd[1]))
+    names = [f"{side}_{c}" for side in "xy" for c in near.ODD]
+    df = spark.createDataFrame(rows, "n long, similar boolean, " + ", ".join(f"{c} long" for c in names))
+    sides = [F.struct("n", *[F.col(f"{side}_{c}").alias(c) for c in near.ODD]).alias(side) for side in "xy"]
+    got = df.select("n", "similar", *sides).select("n", "similar", near.may_be_similar("x", "y", 75).alias("able")).collect()
+    assert all(r["able"] for r in got if r["similar"]) and any(r["similar"] for r in got)
+    assert not any(r["able"] for r in got if not r["similar"] and 30 <= r["n"] <= 300)
+
+
 def test_every_pair_near_enough_has_a_chunk_with_at_most_one_error():
     rng, size = np.random.default_rng(8), near.CHUNKS * near.LANES
     for wrong in (near.FARTHEST, *rng.integers(0, near.FARTHEST, 20)):
