@@ -15,6 +15,7 @@ from notecode.llm.texts import pieces_of, words_of
 from notecode.session import materialised
 
 RARITY = 1 << 21  # counters of word frequency, a byte each; words share them by hash, which costs only selectivity
+LONELY = 5  # frequency class of a word that occurs once in the whole corpus
 HOT = 128  # a prefix word in more lines than this is met in rounds
 _PART = 4096  # counters put together at once
 
@@ -26,27 +27,30 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc", F.posexplode_outer("all").alias("line", "content"))
 
 
+def _grade(n: Column) -> Column:
+    """The frequency class of a count. A count of 1 has ``LONELY``, every larger one a higher class."""
+    return F.least(F.floor(F.log2(n + 1) * 4) + 1, F.lit(126)).cast("byte")
+
+
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: a byte for every counter, its frequency class (quarters of a power of two, 1 to 126)."""
+    """One row: an array with a byte for every counter, its frequency class (quarters of a power of two, 1 to 126)."""
     words = docs.select(F.explode_outer(pieces_of(F.col(text_col))).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(RARITY - 1)).alias("id")).agg(F.count("*").alias("n"))
-    grade = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 4) + 1, F.lit(126)).cast("int")
-    every = docs.sparkSession.range(RARITY).join(counts, "id", "left").select("id", F.char(grade).alias("sign"))
-    text = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x["sign"]), "")
-    parts = every.groupBy(F.floor(F.col("id") / _PART).alias("id")).agg(text(F.struct("id", "sign")).alias("sign"))
-    return parts.agg(text(F.struct("id", "sign")).cast("binary").alias("grades"))
+    every = docs.sparkSession.range(RARITY).join(counts, "id", "left").select("id", _grade(F.coalesce("n", F.lit(0))).alias("grade"))
+    in_order = lambda rows, name: F.transform(F.sort_array(F.collect_list(rows)), lambda x: x[name])
+    parts = every.groupBy(F.floor(F.col("id") / _PART).alias("id")).agg(in_order(F.struct("id", "grade"), "grade").alias("grades"))
+    return parts.agg(F.flatten(in_order(F.struct("id", "grades"), "grades")).alias("grades"))
 
 
 def _ranked(words: Column, grades: Column) -> Column:
     """Distinct words as sorted numbers, rarest first: frequency class in the top byte, then 56 bits of hash."""
 
-    def rank(word: Column) -> Column:
-        h = F.xxhash64(word)
-        place = h.bitwiseAND(F.lit(RARITY - 1)).cast("int") + 1
-        grade = F.ascii(F.substring(grades, place, F.lit(1)).cast("string")).cast("long")
+    def rank(h: Column) -> Column:
+        grade = F.get(grades, h.bitwiseAND(F.lit(RARITY - 1)).cast("int")).cast("long")
         return F.shiftleft(grade, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(words, rank)))
+    hashes = F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
+    return F.sort_array(F.array_distinct(F.transform(hashes, rank)))
 
 
 def _least_shared(n: Column, m: Column, percent: int) -> Column:
@@ -73,6 +77,9 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.select("doc", "line", "content", grades.scalar().alias("grades"))
     ranked = lines.select("doc", "line", _ranked(words_of(F.col("content")), F.col("grades")).alias("ranks"))
     n = F.size("ranks")
+    length = n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1
+    # a word that occurs once meets nothing; such words are the rarest, so they are the first ones
+    social = F.filter(F.slice("ranks", F.lit(1), length), lambda x: F.shiftrightunsigned(x, 56) > LONELY)
     one = F.lit(1).cast("long")
     parity = F.aggregate("ranks", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
     described = ranked.select(
@@ -82,15 +89,17 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.xxhash64("ranks").alias("set_a"),
         F.xxhash64(F.lit(1), F.col("ranks")).alias("set_b"),
         parity.alias("parity"),
-        F.slice("ranks", F.lit(1), n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1).alias("prefix"),
+        social.alias("prefix"),
+        length.alias("length"),
     )
+    described = described.withColumn("skipped", F.col("length") - F.size("prefix")).drop("length")
     # written once: the classes and, at the end, their copies come from it; blank lines are left out of both
     described = materialised(described, "described").filter("n > 0")
-    first = F.min(F.struct("doc", "line", "n", "parity", "prefix")).alias("first")
+    first = F.min(F.struct("doc", "line", "n", "parity", "skipped", "prefix")).alias("first")
     classes = materialised(described.groupBy("set_a", "set_b").agg(first, F.count("*").alias("copies")), "classes")
 
-    keys = classes.select("first.doc", "first.line", "first.n", "first.parity", F.posexplode("first.prefix").alias("at", "word"))
-    keys = keys.repartition("word")
+    keys = classes.select("first.doc", "first.line", "first.n", "first.parity", "first.skipped", F.posexplode("first.prefix").alias("at", "word"))
+    keys = keys.withColumn("at", F.col("at") + F.col("skipped")).drop("skipped").repartition("word")
     entry = F.struct("doc", "line", "n", "at", "parity")
     met = keys.groupBy("word").agg(F.count("*").alias("c"), F.min(entry).alias("lead")).filter("c > 1")
     x, y = F.col("x"), F.col("y")
@@ -115,8 +124,12 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """The later lines of the pairs ``(x, y)`` whose word sets are similar indeed."""
         pairs = materialised(pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("doc", "line")]).distinct(), "pairs")
         wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
-        held = docs.join(wanted.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi")
-        sets = _lines(held, id_col, text_col).join(wanted, ["doc", "line"]).dropDuplicates(["doc", "line"])
+        numbers = wanted.groupBy("doc").agg(F.collect_set("line").alias("numbers"))
+        held = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(numbers, "doc")
+        # the wanted lines of a text are cut out beside it: whole texts move once, other lines not at all
+        numbered = F.transform(F.split("text", "\n"), lambda content, k: F.struct(k.alias("line"), content.alias("content")))
+        chosen = F.filter(numbered, lambda x: F.array_contains("numbers", x["line"]))
+        sets = held.select("doc", F.explode(chosen).alias("one")).select("doc", "one.line", "one.content").dropDuplicates(["doc", "line"])
         sets = sets.select("doc", "line", F.array_distinct(words_of(F.col("content"))).alias("words"))
         sets = materialised(sets, "sets")
         a = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))

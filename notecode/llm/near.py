@@ -50,7 +50,7 @@ def packed(signature: np.ndarray) -> np.ndarray:
 
 def parities(values: np.ndarray) -> np.ndarray:
     """The parity sketch of a set of 64-bit hashes, as bytes."""
-    return np.packbits(np.bincount((values % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1)
+    return np.packbits(np.bincount((values & np.uint64(PARITY - 1)).view(np.int64), minlength=PARITY) & 1)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, chunks: int) -> DataFrame:

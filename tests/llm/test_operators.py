@@ -522,6 +522,8 @@ def test_lines_against_brute_force(spark, monkeypatch, hot):
             w = list(rng.choice(pool))
             if rng.random() < 0.6:
                 w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
+            if rng.random() < 0.3:  # words of one line only
+                w += [f"only{d}x{len(made)}y{k}" for k in range(rng.randrange(1, 4))]
             rng.shuffle(w)
             made.append(rng.choice(["", "  "]) + " ".join(w))
         rows.append((d, "\n".join(made), "s"))
