@@ -71,7 +71,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: a document's row as often as the mix holds it, numbered by ``copy`` from 0.
+    """The training mix: a document's row as often as the mix holds it, numbered by ``copy`` from 0
+    (``copy_`` where the documents have a column ``copy`` in any case of letters, and so on).
 
     Rows repeated with their id are each there as often as the one of them that is taken most.
     """
@@ -79,8 +80,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     doc, copies = _unused(docs, "_doc"), _unused(docs, "_copies")
     found = found.groupBy(F.col("doc_id").alias(doc)).agg(F.max("copies").alias(copies))
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)))
-    copy = F.explode(F.sequence(F.lit(0), F.col(copies).cast("int") - 1)).alias("copy")
-    return joined.select(*[c for c in docs.columns if c != "copy"], copy)
+    copy = F.explode(F.sequence(F.lit(0), F.col(copies).cast("int") - 1)).alias(_unused(docs, "copy"))
+    return joined.select(*docs.columns, copy)
 
 
 STAGES = [

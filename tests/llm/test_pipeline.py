@@ -183,3 +183,13 @@ def test_texts_that_tie_between_two_languages_stay(spark):
     rows = [(1, same, "de"), (2, same, "nl"), (3, "hund", None), (4, "жжж", None), (5, "12 34", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("name", ["copy", "Copy"])
+def test_mix_keeps_a_column_named_copy(spark, tmp_path, name):
+    docs = spark.createDataFrame([(k, f"word{k} and more", "ab"[k % 2], f"own{k}") for k in range(12)], f"doc_id long, text string, source string, {name} string")
+    got = corpus_pipeline.mixed_sources(spark, docs, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "source", name, "copy_"]
+    rows = got.collect()
+    assert rows and all(r[name] == f"own{r['doc_id']}" for r in rows)
+    assert len({(r["doc_id"], r["copy_"]) for r in rows}) == len(rows)
