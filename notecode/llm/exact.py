@@ -1,9 +1,12 @@
 """Exact deduplication over a sharded cuckoo-filter index of text digests.
 
-The index is a log of stored keys plus one small filter per shard. A filter answers "new" without any
-look at the stored keys; only its hits are joined with them. Digests can be inserted and deleted, and
-a filter that overflows, or a shard that grows too large, is built anew from the stored keys. Every
-step writes a new generation into the shared folder, so a lost executor costs a recomputation only.
+The index is a log of stored keys plus one small filter per shard. The filters decide what happens to a
+delivered digest: a miss becomes a new stored key without any look at the stored ones; a hit is
+compared with the stored content of that digest, and either adds to the stored key that it equals or,
+if the filter was wrong, becomes a new key as well. The result is read from the stored keys, which are
+never merged by their digest again. Digests can be inserted and deleted, and a filter that overflows,
+or a shard that grows too large, is built anew from the stored keys. Every step writes a new generation
+into the shared folder, so a lost executor costs a recomputation only.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from notecode.session import materialised
 SLOTS = 4  # fingerprints in a bucket
 MAX_KICKS = 200  # evictions before a filter counts as full
 PER_SHARD = 50_000  # digests of a shard at most, before the index is cut into more shards
-LOG = "digest binary, generation int, keep_id long, n long, deleted boolean"
+KEY = ["digest", "content", "born"]  # of a stored key: born is the generation that made it
+LOG = "digest binary, content binary, born int, keep_id long, n long, deleted boolean"
 
 
 class CuckooFilter:
@@ -103,20 +107,19 @@ def _shard(shards: int):
 
 
 _FILTERS = "shard int, buckets int, slots binary"
-_PROBED = "shard int, digest binary, hit boolean, full boolean, buckets int, slots binary"
+_PROBED = "shard int, digest binary, content binary, hit boolean, full boolean, buckets int, slots binary"
 
 
 def _probe(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     """Hits of a shard's new digests; the misses enter its filter, which is the last row."""
     shard = int((keys if len(keys) else filters)["shard"].iloc[0])
     held = CuckooFilter(int(filters.buckets.iloc[0]), filters.slots.iloc[0]) if len(filters) else CuckooFilter.holding([])
-    rows, full = [], False
-    for digest in sorted(keys["digest"]):
-        hit = held.contains(digest)
-        full |= not hit and not held.insert(digest)
-        rows.append((shard, digest, hit, None, None, None))
-    rows.append((shard, None, None, full, held.buckets, held.table.tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "digest", "hit", "full", "buckets", "slots"])
+    rows = [(shard, d, c, held.contains(d), None, None, None) for d, c in sorted(zip(keys["digest"], keys["content"]))]
+    full = False  # a full filter may lose an entry, so all answers come first
+    for row in rows:
+        full |= not row[3] and not held.insert(row[1])
+    rows.append((shard, None, None, None, full, held.buckets, held.table.tobytes()))
+    return pd.DataFrame(rows, columns=["shard", "digest", "content", "hit", "full", "buckets", "slots"])
 
 
 def _change(delete: bool):
@@ -147,6 +150,10 @@ class CuckooIndex:
     shuffle, so a digest that a third of all rows share is one row of its shard. A shard has at most
     about ``per_shard`` digests: beyond that the number of shards doubles. The driver keeps only
     counts and folder names.
+
+    A row may bring a ``content`` (here the length and a second digest of its text), which is stored
+    with its key: digests whose contents differ are different keys. Without that column the digest
+    alone is compared.
     """
 
     def __init__(self, spark: SparkSession, per_shard: int = PER_SHARD):
@@ -155,26 +162,30 @@ class CuckooIndex:
         self.log: list[DataFrame] = []
         self.filters = spark.createDataFrame([], _FILTERS)
 
-    def live(self) -> DataFrame:
-        """``(digest, keep_id, n)`` of every live digest: its log entries since its last deletion."""
-        if not self.log:
-            return self.spark.createDataFrame([], LOG).select("digest", "keep_id", "n")
-        log = self.log[0]
-        for part in self.log[1:]:
+    def stored(self) -> DataFrame:
+        """``(digest, content, born, keep_id, n)`` of every live stored key: what its log entries add up to."""
+        log = self.spark.createDataFrame([], LOG)
+        for part in self.log:
             log = log.union(part)
-        dropped = log.filter("deleted").groupBy("digest").agg(F.max("generation").alias("_gone"))
-        kept = log.filter("NOT deleted").join(dropped, "digest", "left")
-        kept = kept.filter("_gone IS NULL OR generation > _gone")
-        return kept.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        sums = log.groupBy(*KEY).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.max("deleted").alias("_gone"))
+        return sums.filter("NOT _gone").drop("_gone")
+
+    def live(self) -> DataFrame:
+        """``(digest, keep_id, n)`` of every live stored key."""
+        return self.stored().select("digest", "keep_id", "n")
+
+    def _note(self, entries: DataFrame, deleted: bool = False) -> None:
+        """Write log entries ``(digest, content, born, keep_id, n)``."""
+        self.log.append(materialised(entries.select(*KEY, "keep_id", "n", F.lit(deleted).alias("deleted")), "log"))
 
     def _cogroup(self, keys: DataFrame, filters: DataFrame, function, schema: str) -> DataFrame:
-        keys = keys.select("digest").withColumn("shard", _shard(self.shards))
+        keys = keys.withColumn("shard", _shard(self.shards))
         return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(function, schema)
 
     def _built(self, full: DataFrame | None = None) -> DataFrame:
         """Filters from the stored keys: of all shards, or of those in ``full`` (shard, buckets, slots)."""
         if full is None:
-            return self._cogroup(self.live(), self.spark.createDataFrame([], _FILTERS), _rebuild, _FILTERS)
+            return self._cogroup(self.live().select("digest"), self.spark.createDataFrame([], _FILTERS), _rebuild, _FILTERS)
         keys = self.live().withColumn("shard", _shard(self.shards)).join(full.select("shard"), "shard", "left_semi")
         return keys.select("digest", "shard").groupBy("shard").cogroup(full.groupBy("shard")).applyInPandas(_rebuild, _FILTERS)
 
@@ -187,40 +198,45 @@ class CuckooIndex:
         self.filters = filters
 
     def insert(self, rows: DataFrame) -> DataFrame:
-        """Add rows ``(digest, id)``; returns ``(digest, known)``, known if it was live before."""
+        """Add rows ``(digest, id)`` or ``(digest, content, id)``; returns ``(digest, known)``, known if it was live before.
+
+        Rows without a digest are ignored.
+        """
         self.generation += 1
-        batch = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
-        batch = materialised(batch.filter("digest IS NOT NULL"), "batch")
+        content = F.col("content") if "content" in rows.columns else F.lit(b"")
+        batch = rows.select("digest", F.coalesce(content, F.lit(b"")).alias("content"), "id").filter("digest IS NOT NULL")
+        batch = batch.groupBy("digest", "content").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
+        batch = materialised(batch, "batch")
         new = batch.count()
         if self.size + new > self.shards * self.per_shard:
             while self.size + new > self.shards * self.per_shard:
                 self.shards *= 2
             self._keep(self._built())
-        before = self.live()
-        probed = materialised(self._cogroup(batch, self.filters, _probe, _PROBED), "probed")
-        hits = probed.filter("hit").select("digest")
-        known = materialised(hits.join(before, "digest", "left_semi"), "known")
-        entry = batch.select("digest", F.lit(self.generation).alias("generation"), "keep_id", "n", F.lit(False).alias("deleted"))
-        self.log.append(materialised(entry, "log"))
-        self.size += new - known.count()
+        probed = materialised(self._cogroup(batch.select("digest", "content"), self.filters, _probe, _PROBED), "probed")
+        answers = probed.filter("digest IS NOT NULL").select("digest", "content", "hit")
+        same = self.stored().select(*KEY)
+        verified = answers.filter("hit").join(same, ["digest", "content"], "left")
+        born = answers.filter("NOT hit").withColumn("born", F.lit(None).cast("int")).unionByName(verified)
+        born = materialised(born, "born")  # the stored key that a digest adds to; none for a new key
+        entry = batch.join(born, ["digest", "content"])
+        self._note(entry.withColumn("born", F.coalesce("born", F.lit(self.generation))))
+        self.size += born.filter("born IS NULL").count()
         now = probed.filter("digest IS NULL").select("shard", "buckets", F.expr("if(full, null, slots)").alias("slots"))
         self._keep(now)
-        wrong = hits.join(known, "digest", "left_anti")
+        wrong = born.filter("hit AND born IS NULL").select("digest")
         if not wrong.isEmpty():
             self._keep(self._cogroup(wrong, self.filters, _change(False), _FILTERS))
-        return batch.select("digest").join(known.withColumn("_known", F.lit(True)), "digest", "left").select(
-            "digest", F.col("_known").isNotNull().alias("known")
-        )
+        return born.groupBy("digest").agg(F.max(F.col("born").isNotNull()).alias("known"))
 
     def delete(self, digests: DataFrame) -> DataFrame:
-        """Remove live digests; returns those that were live. Others are ignored."""
+        """Remove live digests, with any content; returns those that were live. Others are ignored."""
         self.generation += 1
-        gone = materialised(digests.select("digest").distinct().join(self.live(), "digest", "left_semi"), "gone")
-        entry = gone.select("digest", F.lit(self.generation).alias("generation"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("deleted"))
-        self.log.append(materialised(entry, "log"))
+        gone = self.stored().join(digests.select("digest").distinct(), "digest", "left_semi")
+        gone = materialised(gone.select(*KEY), "gone")
+        self._note(gone.select("*", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("n")), deleted=True)
         self.size -= gone.count()
-        self._keep(self._cogroup(gone, self.filters, _change(True), _FILTERS))
-        return gone
+        self._keep(self._cogroup(gone.select("digest"), self.filters, _change(True), _FILTERS))
+        return gone.select("digest").distinct()
 
     def lookup(self, digests: DataFrame) -> DataFrame:
         """``(digest, keep_id, n)`` of those digests that are live."""
@@ -228,14 +244,18 @@ class CuckooIndex:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, digest)``: SHA-256 of each whole text with A-Z lower-cased (null: empty), row by row."""
+    """``(id, digest, content)`` of each whole text with A-Z lower-cased (null: empty), row by row.
+
+    The digest is SHA-256; the content is the text's length in bytes and a BLAKE2 digest.
+    """
 
     def hashed(batch):
-        texts = ((t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(1).to_pylist())
-        yield {"id": batch.column(0), "digest": [hashlib.sha256(t).digest() for t in texts]}
+        texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(1).to_pylist()]
+        content = [len(t).to_bytes(8, "big") + hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+        yield {"id": batch.column(0), "digest": [hashlib.sha256(t).digest() for t in texts], "content": content}
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(chosen, hashed, "id long, digest binary")
+    return map_rows(chosen, hashed, "id long, digest binary, content binary")
 
 
 def exact_duplicates(
@@ -244,7 +264,8 @@ def exact_duplicates(
     """``(doc_id, keep_id, group_size, kept, digest)``, one row for each input row.
 
     Rows are inserted in ``batches`` deliveries (by a hash of the id); the result does not depend on
-    their number. Null text counts as empty, so null and empty texts form one group. Of equal texts the
+    their number. Each row is given the stored key of its text, as the filters' answers and the checks of
+    their hits made it. Null text counts as empty, so null and empty texts form one group. Of equal texts the
     largest id stays; a null id never wins against another, and a group of null ids only keeps them
     all. Rows repeated with their id are all marked alike. Other columns are ignored. An empty table
     gives no rows.
@@ -254,8 +275,8 @@ def exact_duplicates(
     delivery = F.pmod(F.xxhash64("id"), F.lit(batches))
     for k in range(batches):
         index.insert(rows.filter(delivery == k))
-    live = materialised(index.live(), "live")  # a plain table, so that a join can split the rows of one digest
-    return rows.join(live, "digest").select(
+    keys = materialised(index.stored(), "stored")  # a plain table, so that a join can split the rows of one digest
+    return rows.join(keys, ["digest", "content"]).select(
         F.col("id").alias("doc_id"),
         "keep_id",
         F.col("n").alias("group_size"),

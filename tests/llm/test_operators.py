@@ -436,6 +436,31 @@ def test_exact_against_brute_force(spark, batches):
     assert exact.exact_duplicates(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("answer", [True, False])
+def test_result_of_exact_passes_through_the_filters(spark, monkeypatch, answer):
+    rows = messy()
+    marked = lambda: sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact.exact_duplicates(table(spark, rows), batches=3).collect()), key=repr)
+    right, truthful = marked(), exact._probe
+
+    def always(keys, filters):
+        out = truthful(keys, filters)
+        out.loc[out["digest"].notna(), "hit"] = answer
+        return out
+
+    monkeypatch.setattr(exact, "_probe", always)
+    assert (marked() == right) is answer  # wrong hits are found out by their content, wrong misses change the result
+
+
+def test_digests_with_other_contents_are_other_keys(spark):
+    index = exact.CuckooIndex(spark)
+    frame = lambda rows: spark.createDataFrame([(bytearray(digest(k)), bytearray(c), i) for k, c, i in rows], "digest binary, content binary, id long")
+    index.insert(frame([(1, b"x", 1), (1, b"y", 2), (2, b"x", 3)]))
+    assert {bytes(r["digest"]): r["known"] for r in index.insert(frame([(1, b"y", 4), (1, b"z", 5), (3, b"x", 6)])).collect()} == {digest(1): True, digest(3): False}
+    live = sorted((bytes(r["digest"]), bytes(r["content"]), r["keep_id"], r["n"]) for r in index.stored().collect())
+    assert live == sorted([(digest(1), b"x", 1, 1), (digest(1), b"y", 4, 2), (digest(1), b"z", 5, 1), (digest(2), b"x", 3, 1), (digest(3), b"x", 6, 1)])
+    assert index.delete(frame([(1, b"", 0)])).count() == 1 and index.size == 2 == index.live().count()
+
+
 # ---- 8 near duplicates
 
 
