@@ -233,12 +233,33 @@ def first_pages(spark, d):
     return P.first_pages(v.pages(spark, d)).select("page_id", "page_key", F.length("html").cast("long").alias("n_chars"))
 
 
-@query(
-    f"SELECT page_id, place, regexp_extract(link, {_quoted(P.LINK)}, 1) || regexp_extract(link, {_quoted(P.LINK)}, 2) || "
-    f"regexp_extract(link, {_quoted(P.LINK)}, 3) AS href, regexp_replace(regexp_extract(link, {_quoted(P.LINK)}, 4), {_quoted(P.TAG)}, '', 'g') AS text "
-    f"FROM (SELECT page_id, unnest(links) AS link, unnest(range(len(links))) AS place FROM "
-    f"(SELECT page_id, regexp_extract_all(html, {_quoted(P.LINK)}) AS links FROM fx_first_pages))"
+def _decoded(text: str) -> str:
+    for name, sign in (("quot", "34"), ("copy", "169"), ("middot", "183"), ("amp", "38")):
+        text = f"replace({text}, '&{name};', chr({sign}))"
+    return text
+
+
+NAV = (
+    "SELECT page_id, CAST(place AS BIGINT) AS place, split_part(piece, '\"', 1) AS href, "
+    f"{_decoded("split_part(split_part(piece, '>', 2), '<', 1)")} AS text "
+    "FROM (SELECT page_id, unnest(pieces[2:]) AS piece, unnest(range(len(pieces) - 1)) AS place FROM "
+    "(SELECT page_id, string_split(html, '<a href=\"') AS pieces FROM fx_first_pages WHERE {where}))"
 )
+
+
+@query(NAV.format(where="true"))
 def page_links(spark, d):
     links = P.page_links(P.first_pages(v.pages(spark, d)))
     return links.withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    NAV.format(where="strpos(html, '<html lang=\"fr\"') > 0") + " UNION ALL SELECT page_id, 0 AS place, NULL AS href, "
+    f"{_decoded("split_part(split_part(html, '<h1>', 2), '</h1>', 1)")} AS text "
+    "FROM fx_first_pages WHERE strpos(html, '<html lang=\"fr\"') = 0 AND strpos(html, '<h1>') > 0"
+)
+def page_links_by_rule(spark, d):
+    """Menu entries of the pages in one language; of the others, where that rule finds none, the heading."""
+    rules = [P.LinkRule("html[lang=fr] nav > ul > li", "a"), P.LinkRule("article h1")]
+    links = P.page_links(P.first_pages(v.pages(spark, d)).withColumn("depth", F.lit(0)), rules, "depth")
+    return links.withColumn("place", F.col("place").cast("long"))

@@ -1,5 +1,7 @@
 """Files, checkpoints and a whole run from raw notes to metrics."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,61 @@ def test_anchors_left_open_end_at_the_next(spark, rows):
     assert rows(pages.page_links(df)) == [(1, 0, "1", "one"), (1, 1, "2", "two"), (1, 2, "3", "three")]
 
 
+def links_of(html, *rules):
+    return pages.LinkReader(rules or (pages.LinkRule(),)).read(html)
+
+
+def test_pages_without_what_is_no_link():
+    html = """<!-- <a href=1>x</a> --><script>var t = "<a href='2'>y</a>";</script><style>a[href="3"] {}</style>
+        <a href="/q?a=1&amp;b=2">R&amp;D &#169;<!-- z --><script>w</script></a><a name="n">no</a></i><a href>e</a>"""
+    assert links_of(html) == [[("/q?a=1&b=2", "R&D ©"), ("", "e")]]
+    assert links_of("<a href=1>open <b>bold") == [[("1", "open bold")]] and links_of("a < b") == [[]]
+
+
+@pytest.mark.parametrize(
+    ("select", "texts"),
+    [
+        ("li", ["one", "two", "three", "in"]),
+        ("ul > li", ["one", "two", "three"]),
+        ("div.k li, #m", ["three", "in", "end"]),
+        ("div.k > ul li[data-x^=a]", ["three"]),
+        ("body * > ol > li", ["in"]),
+        ("[title='a b'], p.none", ["two"]),
+        ("h1 li", []),
+    ],
+)
+def test_selectors(select, texts):
+    html = "<body><ul><li>one<li title='a b'>two</ul><div class='j k'><ul><li data-x=abc>three</ul><ol><li>in</ol></div><p id=m>end<br></body>"
+    assert [text for _, text in links_of(html, pages.LinkRule(select))[0]] == texts
+
+
+def test_text_of_a_rule_lies_in_its_links():
+    html = "<div class=r><span>9</span><a href=x>t<span> u</span></a> v</div><span>w</span><div class=r><span>n</span></div>"
+    assert links_of(html, pages.LinkRule(".r", "a"), pages.LinkRule("div", "span")) == [[("x", "t u"), (None, "")], [("x", "9 u"), (None, "n")]]
+
+
+def test_unreadable_selectors_are_refused():
+    for bad in ("", "a >", "a,,b", "a[", "a:first"):
+        with pytest.raises(ValueError):
+            pages.Selector(bad)
+
+
+def test_rules_by_depth_with_the_next_as_fallback(spark, rows):
+    html = "<h1>t</h1><a href=1>x</a>"
+    given = [(1, html, 0), (2, html, 1), (3, html, 2), (4, html, None), (5, None, 0), (6, "", 0), (7, "<i>i</i>", 0)]
+    df = spark.createDataFrame(given, "page_id long, html string, depth int")
+    rules = [pages.LinkRule("h2"), pages.LinkRule("h1"), pages.LinkRule("a")]
+    assert rows(pages.page_links(df, rules, "depth")) == [(1, 0, None, "t"), (2, 0, None, "t"), (3, 0, "1", "x")]
+    assert rows(pages.page_links(df.limit(0))) == []
+
+
+def test_long_pages_are_read_in_linear_time():
+    began = time.monotonic()
+    assert links_of("<b>" * 50_000 + "</i>" * 50_000 + "<a href=1>x") == [[("1", "x")]]
+    assert len(links_of("<li><a href=1>x" * 50_000)[0]) == 50_000
+    assert time.monotonic() - began < 20
+
+
 def test_config_is_checked():
     for bad in ({"version": "11"}, {"kind": "x"}, {"version": "10", "kind": "proc"}, {"category": "Poetry"}):
         with pytest.raises(ValueError):
