@@ -87,16 +87,23 @@ def read_matrix(spark, d):
 
 
 @query(
-    "SELECT 'X' AS part, count(*) AS n FROM fx_x UNION ALL SELECT 'Y', count(*) FROM fx_y "
-    "UNION ALL SELECT 'instances', count(*) FROM fx_instances UNION ALL SELECT 'label_map', count(*) FROM part"
+    "SELECT 'X' AS part, count(*) AS n, count(DISTINCT row_id) AS ids, round(sum(val), 3) AS total FROM fx_x "
+    "UNION ALL SELECT 'Y', count(*), count(DISTINCT row_id), sum(label_id)::DOUBLE FROM fx_y "
+    "UNION ALL SELECT 'instances', count(*), count(DISTINCT row_id), sum(row_id)::DOUBLE FROM fx_instances "
+    "UNION ALL SELECT 'label_map', count(*), count(DISTINCT p_partkey), sum(length(p_name))::DOUBLE FROM part"
 )
 def write_dataset(spark, d):
     folder = scratch_path(spark, "dataset")
     names = v.table(spark, d, "part").select(F.col("p_partkey").alias("label_id"), F.col("p_name").alias("label_text"))
     S.write_dataset(v.x(spark, d), v.y(spark, d), v.instances(spark, d), names, folder)
     parts = S.read_dataset(spark, folder)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    sums = {"X": ("row_id", F.round(F.sum("val"), 3)), "Y": ("row_id", F.sum("label_id"))}
+    sums |= {"instances": ("row_id", F.sum("row_id")), "label_map": ("label_id", F.sum(F.length("label_text")))}
+    rows = [
+        parts[name].agg(F.count("*").alias("n"), F.countDistinct(key).alias("ids"), total.cast("double").alias("total")).withColumn("part", F.lit(name))
+        for name, (key, total) in sums.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 @query(

@@ -13,7 +13,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from notecode.operators.ranking import ordinal_rank
 from notecode.operators.sampling import hash_of, seeded_hash
 from notecode.operators.skew import hot_keys, rank_in_groups, skew_join, top_in_groups
 from notecode.session import checkpointed, materialised
+from notecode.sources.store import content_of, publish, published
 
 NODE_ENTRIES = 500_000  # most feature entries and labels of a node that is split in one task
 SCORE_DIGITS = 6  # scores are rounded before they are ranked, so that summation order cannot matter
@@ -361,23 +361,21 @@ def cluster_members(codes: DataFrame) -> DataFrame:
 def cached_codes(
     spark: SparkSession, folder: str, features: DataFrame, embedding: str, method: str, seeds: tuple[int, ...] = (0, 1, 2), **params
 ) -> DataFrame:
-    """Codes for each seed, built only if ``folder`` does not hold them for the same parameters yet.
+    """Codes for each seed, built only if ``folder`` does not hold them for the same parameters and content yet.
 
-    Returns (key, seed, label_id, code). The table is partitioned by the parameter key.
+    The key of a seed is a digest of the parameters and of all values of the label features (and of a table
+    among the parameters). Each key is published by itself, so codes half written do not count. Returns
+    (key, seed, label_id, code).
     """
-    keys = {}
+    content = {name: list(content_of(v)) if isinstance(v, DataFrame) else v for name, v in params.items()}
+    content["features"] = list(content_of(features))
+    tables = []
     for seed in seeds:
-        settings = json.dumps({"embedding": embedding, "method": method, "seed": seed, **params}, sort_keys=True)
-        keys[seed] = hashlib.md5(settings.encode()).hexdigest()
-    try:
-        wanted = spark.read.parquet(folder).filter(F.col("key").isin(list(keys.values())))
-        stored = {r[0] for r in wanted.select("key").distinct().collect()}
-    except AnalysisException:  # nothing was stored yet
-        stored = set()
-    for seed, key in keys.items():
-        if key not in stored:
+        settings = json.dumps({"embedding": embedding, "method": method, "seed": seed, **content}, sort_keys=True)
+        key = hashlib.md5(settings.encode()).hexdigest()
+        if not published(spark, f"{folder}/{key}"):
             codes = index_labels(method, features, seed=seed, **params)
-            keyed = codes.select("label_id", "code", F.lit(seed).alias("seed"), F.lit(key).alias("key"))
-            keyed.write.mode("append").partitionBy("key").parquet(folder)
-    table = spark.read.parquet(folder).filter(F.col("key").isin(list(keys.values())))
-    return table.select("key", "seed", "label_id", "code")
+            publish({"codes": codes.select("label_id", "code")}, f"{folder}/{key}")
+        stored = published(spark, f"{folder}/{key}")["codes"]
+        tables.append(stored.select(F.lit(key).alias("key"), F.lit(seed).alias("seed"), "label_id", "code"))
+    return reduce(DataFrame.unionByName, tables)

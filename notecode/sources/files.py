@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from notecode.functions.text import strip_spaces
 from notecode.operators.linear import Model
+from notecode.sources.store import publish, published
 
 NOTES_SCHEMA = T.StructType(
     [
@@ -134,21 +135,23 @@ def write_dataset(
 ) -> None:
     """Store texts (row_id, text), if given, features, label matrix and label map of one split, after checking their rows.
 
-    Every row of X and Y must belong to an instance.
+    Every row of X and Y must belong to an instance. The tables are published together (``store.publish``).
     """
     for name, matrix in (("X", x), ("Y", y)):
         if not matrix.join(instances.select("row_id"), "row_id", "left_anti").isEmpty():
             raise ValueError(f"{name} has rows that are not instances")
+    tables = {"X": x, "Y": y, "instances": instances, "label_map": label_map}
     if texts is not None:
-        texts.select("row_id", "text").write.parquet(f"{folder}/texts")
-    x.write.parquet(f"{folder}/X")
-    y.write.parquet(f"{folder}/Y")
-    instances.write.parquet(f"{folder}/instances")
-    label_map.write.parquet(f"{folder}/label_map")
+        tables["texts"] = texts.select("row_id", "text")
+    publish(tables, folder)
 
 
 def read_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("X", "Y", "instances", "label_map")}
+    """The tables of a stored split by name; a folder that was never written to its end is refused."""
+    tables = published(spark, folder)
+    if not tables:
+        raise FileNotFoundError(f"no complete data set in {folder}")
+    return tables
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:

@@ -5,11 +5,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from notecode.operators import indexing
 from notecode.operators.linear import Fit
 from notecode.plans import stages
 from notecode.plans.config import RunConfig
 from notecode.session import checkpoint_folder, scratch_path
-from notecode.sources import files, pages
+from notecode.sources import files, pages, store
 
 
 def test_checkpoint_folder_follows_the_session(spark):
@@ -136,6 +137,42 @@ def test_long_pages_are_read_in_linear_time():
     assert time.monotonic() - began < 20
 
 
+def test_half_written_tables_are_not_read(spark, tmp_path, rows):
+    folder = str(tmp_path / "set")
+    good = spark.createDataFrame([(1, "a"), (2, None)], "row_id long, text string")
+    broken = good.withColumn("text", F.raise_error(F.lit("killed")))
+    with pytest.raises(Exception, match="killed"):
+        store.publish({"first": good, "second": broken}, folder)
+    assert store.published(spark, folder) == {}
+    with pytest.raises(FileNotFoundError):
+        files.read_dataset(spark, folder)
+    store.publish({"first": good, "second": good.limit(0)}, folder)
+    read = store.published(spark, folder, check=True)
+    assert rows(read["first"]) == rows(good) and rows(read["second"]) == []
+    with pytest.raises(FileExistsError):
+        store.publish({"first": good}, folder)
+    read["second"].sparkSession.createDataFrame([(9, "x")], "row_id long, text string").write.mode("append").parquet(
+        f"{folder}/{store.manifest(spark, folder).first()['part']}/first"
+    )
+    with pytest.raises(ValueError):
+        store.published(spark, folder, check=True)
+
+
+def test_content_does_not_depend_on_order(spark):
+    df = spark.createDataFrame([(i % 5, float(i)) for i in range(40)], "a long, b double")
+    assert store.content_of(df) == store.content_of(df.repartition(7, "b").select("b", "a"))
+    assert store.content_of(df) != store.content_of(df.filter("b < 39").unionByName(df.filter("b = 38")))
+
+
+def test_cached_codes_follow_the_labels(spark, tmp_path, rows):
+    folder, make = str(tmp_path / "codes"), lambda n: spark.range(n).selectExpr("id AS label_id", "0L AS col_id", "1D AS val")
+    first = rows(indexing.cached_codes(spark, folder, make(8), "none", "random", seeds=(0, 1), depth=2))
+    assert rows(indexing.cached_codes(spark, folder, make(8), "none", "random", seeds=(0, 1), depth=2)) == first
+    assert len(list((tmp_path / "codes").iterdir())) == 2
+    more = rows(indexing.cached_codes(spark, folder, make(9), "none", "random", seeds=(0,), depth=2))
+    assert len(more) == 9 and len(list((tmp_path / "codes").iterdir())) == 3
+
+
 def test_config_is_checked():
     for bad in ({"version": "11"}, {"kind": "x"}, {"version": "10", "kind": "proc"}, {"category": "Poetry"}):
         with pytest.raises(ValueError):
@@ -180,7 +217,7 @@ def test_whole_run(spark, tmp_path, variant):
         assert model.depth == 2
     stages.predict_stage(spark, config, folder, given)
     data = files.read_dataset(spark, f"{folder}/test")
-    assert spark.read.parquet(f"{folder}/test/texts").count() == data["instances"].count()
+    assert data["texts"].count() == data["instances"].count()
     metrics = {r["k"]: r for r in stages.evaluate_stage(spark, config, folder).collect()}
     assert metrics[1]["precision"] > 0.8
     assert metrics[5]["recall"] > 0.8
