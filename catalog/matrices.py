@@ -109,19 +109,13 @@ def _formats(spark, d):
 
 
 @query(
-    "SELECT format, row_id, count(*) AS n, sum(round(val * 1000000))::BIGINT AS total, "
-    "md5(string_agg(col_id || ':' || round(val * 1000000)::BIGINT, ',' ORDER BY col_id)) AS digest FROM ("
     "SELECT 0 AS format, row_id, col_id, round(val / sqrt(sum(val * val) OVER (PARTITION BY row_id)), 6) AS val FROM fx_n12 "
     "UNION ALL SELECT 1, row_id, col_id, round(val, 6) FROM fx_n1 UNION ALL SELECT 2, row_id, col_id - 100, round(val, 6) FROM fx_n2 "
     "UNION ALL SELECT 3, row_id, col_id, round(val, 6) FROM fx_n12 UNION ALL SELECT 4, row_id, col_id, val FROM fx_x1"
-    ") GROUP BY format, row_id"
 )
 def feature_format(spark, d):
-    """One row for each format and instance, with a digest of all its entries."""
-    entries = rounded(_formats(spark, d)).withColumn("val", F.round(F.col("val") * 1_000_000).cast("long"))
-    listed = F.sort_array(F.collect_list(F.struct("col_id", "val")))
-    text = F.array_join(F.transform(listed, lambda e: F.concat(e["col_id"].cast("string"), F.lit(":"), e["val"].cast("string"))), ",")
-    return entries.groupBy("format", "row_id").agg(F.count("*").alias("n"), F.sum("val").alias("total"), F.md5(text).alias("digest"))
+    """Every entry of every format."""
+    return rounded(_formats(spark, d))
 
 
 # --- shapes and subsets -----------------------------------------------------------------------
