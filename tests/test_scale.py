@@ -1,8 +1,15 @@
 """Whole results of the matrix queries on small tables of their own, and plans that stay bounded."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from catalog import matrices
+from catalog import matrices, views
+from notecode.operators import embedding as E
+from notecode.operators import indexing as I
+from notecode.operators import linear as L
+from notecode.operators import matrix as M
+from notecode.operators.decomposition import normal_row, random_normal
 
 
 @pytest.fixture
@@ -27,3 +34,96 @@ def test_feature_format_keeps_every_entry(spark, bought):
     assert found.columns == ["row_id", "col_id", "val", "format"]
     counts = {r["format"]: r["count"] for r in found.groupBy("format").count().collect()}
     assert counts == {0: 10, 1: 6, 2: 4, 3: 10, 4: 6}
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def cells(df, *keys):
+    return sorted((tuple(r[k] for k in keys) + (round(r[df.columns[-1]], 9),) for r in df.collect()), key=repr)
+
+
+def entries(spark):
+    a = spark.createDataFrame([(1, 7, 2.0), (1, 8, 1.0), (2, 8, -1.0), (None, 7, 3.0), (2, None, 9.0)], "row_id long, inner long, val double")
+    b = spark.createDataFrame([(7, "p", 1.0), (7, None, 2.0), (8, "p", 3.0), (8, "q", None), (9, "r", 1.0)], "inner long, col_id string, val double")
+    return a, b
+
+
+def test_packed_products_equal_joined_ones(spark, monkeypatch):
+    a, b = entries(spark)
+    want = sorted(M.joined_products(a, b, "row_id", "inner", "col_id").collect(), key=repr)
+    assert sorted(M.matmul(a, b, "row_id", "inner", "col_id").collect(), key=repr) == want
+    monkeypatch.setattr(M, "FREQUENT", 1)  # row 1 and row 2 are summed from all tasks
+    assert sorted(M.matmul(a, b, "row_id", "inner", "col_id").collect(), key=repr) == want
+
+
+def test_products_are_not_shuffled_by_cell(spark):
+    a, b = entries(spark)
+    rest, _ = M.packed_products(a, b, "row_id", "inner", "col_id")
+    assert "hashpartitioning(row_id#" in plan(rest)
+    assert not [x for x in plan(rest).splitlines() if "Exchange hashpartitioning(row_id#" in x and "col_id#" in x]
+
+
+@pytest.mark.parametrize("cells_", [0, 10**6])
+def test_pairs_in_groups_score_like_joins(spark, monkeypatch, cells_):
+    rng = np.random.default_rng(3)
+    x = spark.createDataFrame([(int(i), f"c{j}", float(i + j)) for i in range(9) for j in rng.choice(12, 4, False)] + [(1, None, 5.0), (2, "c0", None)], "row_id long, col_id string, val double")
+    w = spark.createDataFrame([(int(k), f"c{j}", float(k - j)) for k in range(5) for j in rng.choice(14, 6, False)] + [(0, "c1", 1.5), (0, "c1", 1.5)], "label_id long, col_id string, val double")
+    pairs = spark.createDataFrame([(i, k) for i in range(11) for k in range(7)] + [(1, 1), (None, 1), (3, None)], "row_id long, label_id long")
+    want = cells(M.joined_scores(x, w, pairs), "row_id", "label_id")
+    for size in (3, 10**6):  # with 3, every label is dealt to several groups
+        monkeypatch.setattr(M, "PAIRS", size)
+        monkeypatch.setattr(M, "MAX_CELLS", cells_)
+        assert cells(M.score_pairs(x, w, pairs), "row_id", "label_id") == want
+
+
+def test_labels_of_several_clusters_are_predicted_once(spark):
+    x = spark.createDataFrame([(1, "a", 2.0), (2, "b", 1.0)], "row_id long, col_id string, val double")
+    w = spark.createDataFrame([(5, "a", 3.0), (6, "b", 1.0)], "label_id long, col_id string, val double")
+    c = spark.createDataFrame([(5, 0), (5, 1), (6, 1), (6, 1)], "label_id long, code long")
+    z = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.2), (1, 1, 0.2), (2, 1, 1.0)], "row_id long, code long, val double")
+    found = {(r["row_id"], r["label_id"], r["score"], r["rank"]) for r in L.predict_with_codes(x, w, c, z, 5).collect()}
+    assert found == {(1, 5, 6.0, 1), (1, 6, 0.0, 2), (2, 6, 1.0, 1), (2, 5, 0.0, 2)}
+    assert L.predict_with_codes(x, w, c, z, 5).count() == 4
+
+
+def test_random_rows_equal_the_expression(spark):
+    keys = ["Brand#1/x", "", "7"]
+    df = spark.createDataFrame([(k, i) for k in keys for i in range(3)], "k string, i int")
+    want = {(r["k"], r["i"]): r["g"] for r in df.select("k", "i", random_normal(F.col("k"), F.col("i"), 4).alias("g")).collect()}
+    assert all(abs(normal_row(k, 3, 4)[i] - g) < 1e-12 for (k, i), g in want.items())
+
+
+def test_projection_makes_no_row_for_each_dimension_of_an_entry(spark):
+    features = spark.createDataFrame([(1, "a", 2.0), (1, None, 1.0), (2, "a", None), (None, "b", 1.0)], "label_id long, col_id string, val double")
+    labels = spark.createDataFrame([(1,), (2,), (3,)], "label_id long")
+    found = {(r["label_id"], r["dim"]): r["val"] for r in I.random_projection(features, 2, 0, labels).collect()}
+    a, b = normal_row("a", 2, 0), normal_row("b", 2, 0)
+    want = {(1, i): round(2 * a[i], 6) for i in range(2)} | {(k, i): 0.0 for k in (2, 3) for i in range(2)} | {(None, i): round(b[i], 6) for i in range(2)}
+    assert found == want
+    assert "MapInArrow" in plan(I.random_projection(features, 2, 0, labels))
+
+
+def test_training_rows_are_not_shuffled_after_they_are_expanded(spark):
+    y = spark.createDataFrame([(1, 1), (1, 3), (2, 2)], "row_id long, label_id long")
+    c = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "label_id long, code long")
+    z = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0), (2, 1, 1.0), (None, 1, 1.0)], "row_id long, code long, val double")
+    rows = L.training_rows(y, c, z)
+    assert sorted(rows.collect(), key=repr) == sorted(
+        [(1, 1, 1.0), (2, 1, -1.0), (1, 2, -1.0), (2, 2, 1.0), (3, 2, -1.0), (3, None, -1.0)], key=repr
+    )
+    assert not [x for x in plan(rows).splitlines() if "Exchange hashpartitioning(row_id#" in x and "label_id#" in x and "_own" in x]
+
+
+def test_pairs_are_shuffled_once_by_row(spark, bought, monkeypatch):
+    monkeypatch.setattr(views, "ITEMS_OF_A_TASK", 2)
+    found = views.pairs(spark, bought)
+    assert found.count() == len({(r["row_id"], r["label_id"]) for r in found.collect()})
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert not [x for x in plan(found).splitlines() if "Exchange hashpartitioning(row_id#" in x and "label_id#" in x]
+
+
+def test_label_weights_are_unit_rows(spark, bought):
+    sizes = E.pifa(views.y(spark, bought), views.x(spark, bought)).groupBy("label_id").agg(F.sum(F.col("val") * F.col("val")).alias("s"))
+    assert all(abs(r["s"] - 1) < 1e-9 for r in sizes.collect())
