@@ -27,13 +27,14 @@ def ensemble_average(*preds: DataFrame) -> DataFrame:
 def _ranked(preds: Sequence[DataFrame]) -> tuple[DataFrame, int]:
     """All predictions in one table, numbered, with the rank of each label in its row, and the longest row.
 
-    The predictions are computed once and stored; the longest row is counted from the stored table and
-    tells the ranking, one shuffle for all predictions, how large a group it has to handle.
+    The predictions are read twice: the longest row is counted first, and tells the ranking how large a group
+    it has to handle. Nothing is stored, so that predictions partitioned by row are counted, ranked and combined
+    without another shuffle.
     """
     numbered = [p.select(F.lit(i).alias("model"), *CELL, "score") for i, p in enumerate(preds)]
-    stored = materialised(reduce(DataFrame.unionByName, numbered), "predictions")
-    longest = stored.groupBy("model", "row_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return rank_in_groups(stored, ["model", "row_id"], [F.desc("score"), F.col("label_id")], largest=longest), longest
+    stacked = reduce(DataFrame.unionByName, numbered)
+    longest = stacked.groupBy("model", "row_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return rank_in_groups(stacked, ["model", "row_id"], [F.desc("score"), F.col("label_id")], largest=longest), longest
 
 
 def combined(preds: Sequence[DataFrame]) -> DataFrame:

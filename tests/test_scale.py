@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import matrices, views
 from notecode.operators import embedding as E
+from notecode.operators import ensembling as N
 from notecode.operators import indexing as I
 from notecode.operators import linear as L
 from notecode.operators import matrix as M
@@ -127,3 +128,11 @@ def test_pairs_are_shuffled_once_by_row(spark, bought, monkeypatch):
 def test_label_weights_are_unit_rows(spark, bought):
     sizes = E.pifa(views.y(spark, bought), views.x(spark, bought)).groupBy("label_id").agg(F.sum(F.col("val") * F.col("val")).alias("s"))
     assert all(abs(r["s"] - 1) < 1e-9 for r in sizes.collect())
+
+
+def test_ensembles_of_rows_in_place_shuffle_nothing(spark, bought, monkeypatch):
+    monkeypatch.setattr(views, "ITEMS_OF_A_TASK", 2)
+    found = N.ensemble_round_robin(*[views.pred(spark, bought, t) for t in "abc"])
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert not [x for x in plan(found).splitlines() if "ENSURE_REQUIREMENTS" in x and "hashpartitioning" in x and "label_id#" in x]
+    assert found.count() == views.pairs(spark, bought).count()
