@@ -11,6 +11,7 @@ from notecode.operators import indexing as I
 from notecode.operators import linear as L
 from notecode.operators import matrix as M
 from notecode.operators.decomposition import normal_row, random_normal
+from notecode.session import checkpointed, materialised
 
 
 @pytest.fixture
@@ -136,3 +137,17 @@ def test_ensembles_of_rows_in_place_shuffle_nothing(spark, bought, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan(found)
     assert not [x for x in plan(found).splitlines() if "ENSURE_REQUIREMENTS" in x and "hashpartitioning" in x and "label_id#" in x]
     assert found.count() == views.pairs(spark, bought).count()
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in blocks.mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffle_files(spark)
+    for stored in (materialised(counted), checkpointed(counted), checkpointed(counted)):
+        assert shuffle_files(spark) <= before
+        assert sum(r["count"] for r in stored.collect()) == 1000
+    assert counted.count() == 7
