@@ -151,3 +151,27 @@ def test_stored_steps_leave_no_shuffle_files(spark):
         assert shuffle_files(spark) <= before
         assert sum(r["count"] for r in stored.collect()) == 1000
     assert counted.count() == 7
+
+
+def test_names_are_numbered_as_short_as_they_allow(spark, monkeypatch):
+    _, b = entries(spark)
+    assert M._coded(b, "inner", "col_id")[0].schema["col_id"].dataType.simpleString() == "smallint"
+    monkeypatch.setattr(M, "SHORT", 2)
+    assert M._coded(b, "inner", "col_id")[0].schema["col_id"].dataType.simpleString() == "int"
+
+
+def test_packed_rows_are_sorted_by_value(spark):
+    b = spark.createDataFrame([(1, 5, 2.0), (1, 9, 1.0), (1, 3, 2.0), (1, 7, 1.0)], "inner long, col_id long, val double")
+    row = M.pack_rows(b, "inner", "col_id").first()
+    assert (row["_vals"], row["_cols"]) == ([1.0, 1.0, 2.0, 2.0], [7, 9, 3, 5])
+
+
+def test_blocks_are_scored_with_numbered_columns(spark):
+    x = spark.createDataFrame([(1, "p", 2.0), (1, None, 5.0), (2, "q", 1.0), (3, None, 1.0)], "row_id long, col_id string, val double")
+    w = spark.createDataFrame([(10, "p", 3.0), (10, None, 7.0), (11, "r", 4.0), (11, "q", 0.5)], "label_id long, col_id string, val double")
+    own, weights = M.same_columns(x, w)
+    assert {d.schema["col_id"].dataType.simpleString() for d in (own, weights)} == {"smallint"}
+    c = spark.createDataFrame([(10, 0), (11, 0), (12, 0)], "label_id long, code long")
+    z = spark.createDataFrame([(i, 0, 1.0) for i in (1, 2, 3, 4)], "row_id long, code long, val double")
+    found = {(r["row_id"], r["label_id"]): r["score"] for r in L.score_blocks(x, w, c, z).collect()}
+    assert len(found) == 12 and {k: s for k, s in found.items() if s} == {(1, 10): 6.0, (2, 11): 0.5}
