@@ -175,3 +175,9 @@ def test_blocks_are_scored_with_numbered_columns(spark):
     z = spark.createDataFrame([(i, 0, 1.0) for i in (1, 2, 3, 4)], "row_id long, code long, val double")
     found = {(r["row_id"], r["label_id"]): r["score"] for r in L.score_blocks(x, w, c, z).collect()}
     assert len(found) == 12 and {k: s for k, s in found.items() if s} == {(1, 10): 6.0, (2, 11): 0.5}
+
+
+def test_bought_labels_are_joined_in_as_many_partitions_as_items_need(spark, bought, monkeypatch):
+    monkeypatch.setattr(views, "ITEMS_OF_A_TASK", 2)
+    asked = [line for line in plan(views._bought(spark, bought)).splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(asked) == 2 and all(", 4), " in line for line in asked)
