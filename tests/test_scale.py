@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import matrices, views
+from notecode.operators import baseline as B
 from notecode.operators import embedding as E
 from notecode.operators import ensembling as N
 from notecode.operators import indexing as I
@@ -181,3 +182,10 @@ def test_bought_labels_are_joined_in_as_many_partitions_as_items_need(spark, bou
     monkeypatch.setattr(views, "ITEMS_OF_A_TASK", 2)
     asked = [line for line in plan(views._bought(spark, bought)).splitlines() if "REPARTITION_BY_NUM" in line]
     assert len(asked) == 2 and all(", 4), " in line for line in asked)
+
+
+def test_texts_are_projected_once_for_all_codes(spark):
+    texts = spark.createDataFrame([(i, f"word{i % 3} other{i % 2}") for i in range(12)], "row_id long, text string")
+    codes = spark.createDataFrame([(i, f"c{i % 3}") for i in range(12)], "row_id long, code string")
+    scores = B.kiss_score(texts, B.kiss_train(texts, codes, n_codes=2, rank=2, trees=2))
+    assert scores.count() == 24 and "Join" not in plan(scores)
