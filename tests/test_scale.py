@@ -189,3 +189,18 @@ def test_texts_are_projected_once_for_all_codes(spark):
     codes = spark.createDataFrame([(i, f"c{i % 3}") for i in range(12)], "row_id long, code string")
     scores = B.kiss_score(texts, B.kiss_train(texts, codes, n_codes=2, rank=2, trees=2))
     assert scores.count() == 24 and "Join" not in plan(scores)
+
+
+def test_blocks_hold_every_entry_once_and_score_their_labels(spark):
+    data = [(i, j, float(i + j + 1)) for i in range(4) for j in range(3)] + [(9, j, 0.5) for j in range(30)]
+    features = spark.createDataFrame(data, "label_id long, col_id long, val double")
+    members = [(i, 1, 4, 1) for i in range(4)] + [(9, 1, 31, 2), (7, 1, 1, 1)]  # label 9 comes twice, label 7 has no features
+    state = spark.createDataFrame(members, "label_id long, node long, _n long, _copies long")
+    blocks, known, columns = I._blocks_of(features, state, 20)
+    stored = blocks.collect()
+    assert sum(len(b["vals"]) for b in stored) == len(data) and len(stored) > 1
+    assert known.filter("label_id = 9").count() > 1  # longer than a block
+    centre = spark.createDataFrame([(1, j, 1.0 + j) for j in range(40)], "node long, col_id long, _c double")
+    scores = {r["_label"]: r["_score"] for r in I._scores(blocks, columns, centre).collect()}
+    expected = {i: sum((1.0 + j) * v * (2 if i == 9 else 1) for k, j, v in data if k == i) for i in (0, 1, 2, 3, 9)}
+    assert scores == expected
