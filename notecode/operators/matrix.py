@@ -23,6 +23,7 @@ SENT = 100_000  # packed rows that are unpacked and summed by one task
 PAIRS = 20_000  # pairs of a row and a label that are scored together
 MAX_CELLS = 5_000_000  # largest table of weights kept as a dense array
 FREQUENT = 100_000  # entries of a row from which its products are summed in all tasks
+LISTED = 10_000  # labels of a cluster that are packed together
 SHORT = 32_767  # names that are numbered in two bytes
 GRID_PIECES = 64  # copies of the label list that instances are dealt to when all labels are scored
 
@@ -340,11 +341,16 @@ def score_all(x: DataFrame, w: DataFrame, instances: DataFrame, labels: DataFram
 def expand_candidates(z: DataFrame, c: DataFrame) -> DataFrame:
     """Labels of each instance's clusters with the cluster score: (row_id, label_id, code, parent_score).
 
-    Clusters with score 0 are kept.
+    Clusters with score 0 are kept. The labels of a cluster are packed into rows of about ``LISTED``, so that
+    a candidate cluster meets few rows and its labels are unpacked beside it.
     """
     scored = z.select("row_id", "code", F.col("val").alias("parent_score"))
-    joined = skew_join(scored, c.select("label_id", "code"), ["code"])
-    return joined.select("row_id", "label_id", "code", "parent_score")
+    c = c.select("label_id", "code")
+    pieces = c.groupBy("code").agg(F.ceil(F.count("*") / LISTED).alias("_pieces"))
+    piece = F.pmod(F.xxhash64("label_id"), F.col("_pieces")).alias("_piece")
+    listed = c.join(pieces, "code").groupBy("code", piece).agg(F.collect_list(F.struct("label_id")).alias("_labels"))  # null labels too
+    joined = skew_join(scored, listed.select("code", F.transform("_labels", lambda e: e["label_id"]).alias("_labels")), ["code"])
+    return joined.select("row_id", F.explode("_labels").alias("label_id"), "code", "parent_score")
 
 
 def elementwise_add(*matrices: DataFrame) -> DataFrame:

@@ -204,3 +204,18 @@ def test_blocks_hold_every_entry_once_and_score_their_labels(spark):
     scores = {r["_label"]: r["_score"] for r in I._scores(blocks, columns, centre).collect()}
     expected = {i: sum((1.0 + j) * v * (2 if i == 9 else 1) for k, j, v in data if k == i) for i in (0, 1, 2, 3, 9)}
     assert scores == expected
+
+
+def test_candidates_meet_lists_of_labels(spark, monkeypatch):
+    met = []
+    plain = M.skew_join
+    monkeypatch.setattr(M, "skew_join", lambda big, small, on: met.append(small.count()) or plain(big, small, on))
+    z = spark.createDataFrame([(1, 0, 0.5), (2, 1, 0.0), (3, 2, 1.0), (4, None, 1.0)], "row_id long, code long, val double")
+    c = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (3, 1)], "label_id long, code long")
+    expected = sorted([(1, i, 0, 0.5) for i in range(0, 20, 2)] + [(2, i, 1, 0.0) for i in [*range(1, 20, 2), 3, None]], key=repr)
+    found = M.expand_candidates(z, c).select("row_id", "label_id", "code", "parent_score")
+    assert sorted(map(tuple, found.collect()), key=repr) == expected
+    assert met == [2]  # a row for each cluster, not for each label
+    monkeypatch.setattr(M, "LISTED", 4)
+    found = M.expand_candidates(z, c).select("row_id", "label_id", "code", "parent_score")
+    assert sorted(map(tuple, found.collect()), key=repr) == expected
