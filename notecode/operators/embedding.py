@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notecode.operators.decomposition import project, truncated_svd
-from notecode.operators.features import fit_tfidf, normalize_rows, term_counts, tfidf
+from notecode.operators.features import document_frequency, idf, normalize_rows, term_counts
 from notecode.operators.matrix import dense_to_long, matmul, packed_products
 from notecode.operators.sampling import seeded_hash
-from notecode.operators.skew import skew_join
+from notecode.operators.skew import hottest, skew_join
 from notecode.session import materialised
 
 
@@ -69,11 +69,18 @@ def spectral(y: DataFrame, n_clusters: int, iterations: int = 4) -> DataFrame:
 
 
 def hashed_tfidf(texts: DataFrame, width: int = 256) -> DataFrame:
-    """TF-IDF of (row_id, text) folded into ``width`` hashed columns, unit length: (row_id, col_id, val)."""
-    entries = tfidf(term_counts(texts), fit_tfidf(texts))
-    column = F.pmod(seeded_hash(F.col("col_id"), "hash"), F.lit(width)).cast("int")
-    folded = entries.select("row_id", column.alias("col_id"), "val")
-    return normalize_rows(folded.groupBy("row_id", "col_id").agg(F.sum("val").alias("val")))
+    """TF-IDF of (row_id, text) folded into ``width`` hashed columns, unit length: (row_id, col_id, val).
+
+    Texts are cut into terms once: their counts are stored and read for the weights and for the entries. A
+    term is hashed with its weight, and rows are folded and get unit length, once, after one shuffle.
+    """
+    counts = materialised(term_counts(texts), "counts")
+    weights = idf(document_frequency(counts), texts.agg(F.count("*")).scalar())
+    column = F.pmod(seeded_hash(F.col("term"), "hash"), F.lit(width)).cast("int").alias("col_id")
+    weights = materialised(weights.select("term", "df", "idf", column), "weights")
+    joined = skew_join(counts, weights.drop("df"), ["term"], hot=hottest(weights, ["term"], "df"))
+    folded = joined.repartition("row_id").groupBy("row_id", "col_id").agg(F.sum(F.col("n") * F.col("idf")).alias("val"))
+    return normalize_rows(folded)
 
 
 def embed_text(

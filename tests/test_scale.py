@@ -219,3 +219,28 @@ def test_candidates_meet_lists_of_labels(spark, monkeypatch):
     monkeypatch.setattr(M, "LISTED", 4)
     found = M.expand_candidates(z, c).select("row_id", "label_id", "code", "parent_score")
     assert sorted(map(tuple, found.collect()), key=repr) == expected
+
+
+def test_embedded_texts_are_cut_into_terms_once(spark, monkeypatch):
+    from notecode.operators import embedding, features
+
+    plain, calls = features.term_counts, []
+    for module in (embedding, features):
+        monkeypatch.setattr(module, "term_counts", lambda *a: calls.append(1) or plain(*a))
+    texts = spark.createDataFrame([(1, "a b b c"), (2, "a c"), (3, None), (4, "")], "row_id long, text string")
+    got = embedding.hashed_tfidf(texts).collect()
+    assert len(calls) == 1
+    monkeypatch.undo()
+    entries = features.tfidf(features.term_counts(texts), features.fit_tfidf(texts)).collect()
+    want = {}
+    for r in entries:
+        at = (r["row_id"], embedding_column(r["col_id"]))
+        want[at] = want.get(at, 0.0) + r["val"]
+    norms = {row: sum(v * v for (k, _), v in want.items() if k == row) ** 0.5 for row, _ in want}
+    assert {(r["row_id"], r["col_id"]): round(r["val"], 9) for r in got} == {k: round(v / norms[k[0]], 9) for k, v in want.items()}
+
+
+def embedding_column(term, width=256):
+    from notecode.operators.sampling import hash_of
+
+    return hash_of(term, "hash") % width
