@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalog import matrices, views
+from catalog import labels, matrices, views
 from notecode.operators import baseline as B
+from notecode.operators import blocks
 from notecode.operators import embedding as E
 from notecode.operators import ensembling as N
 from notecode.operators import indexing as I
@@ -244,3 +245,34 @@ def embedding_column(term, width=256):
     from notecode.operators.sampling import hash_of
 
     return hash_of(term, "hash") % width
+
+
+def test_grid_search_packs_its_blocks_once(spark, bought, monkeypatch):
+    calls, packing = [], blocks.blocks_of
+    monkeypatch.setattr(blocks, "blocks_of", lambda *a: calls.append(1) or packing(*a))
+    found = labels.grid_search(spark, bought).collect()
+    assert sorted((r["params"], r["n_k"], r["in_range"]) for r in found) == [(f"c_pos={c},tolerance=0.01", 20, True) for c in (1.0, 2.0)]
+    assert len(calls) == 1
+
+
+def test_stored_blocks_give_the_same_weights(spark, bought):
+    x, y, c = labels._training(spark, bought)
+    z = L.active_clusters(y, c)
+    stored = L.training_blocks(x, y, c, z)
+    for fit in (L.Fit(c_pos=2.0), L.Fit("L2R_LR_DUAL")):
+        want = cells(L.train_linear(x, y, c, z, fit), "label_id", "col_id")
+        assert want and cells(L.train_linear(x, y, c, z, fit, stored=stored), "label_id", "col_id") == want
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 10**6])
+def test_rows_of_a_block_in_turn_sum_like_all_of_them(monkeypatch, at_once):
+    rng = np.random.default_rng(5)
+    row = {"ends": np.arange(1, 10) * 3, "cols": rng.integers(0, 6, 27), "vals": rng.normal(size=27), "labels": [3, 4], "col_ids": list("abcdef"), "true_at": [0, 5, 11]}
+    w = rng.normal(size=(6, 2))
+    block = blocks.Block(row, L.Fit(c_pos=3.0, c_neg=0.5))
+    monkeypatch.setattr(blocks, "CELLS_AT_ONCE", at_once)
+    margin = block.y * (block.dense @ w)
+    hinge = np.maximum(1 - margin, 0)
+    want = (block.dense.T @ (2 * block.cost * hinge * block.y), (block.cost * hinge**2).sum(0), (2 * block.cost * hinge - block.cost * hinge**2).sum(0))
+    for found, expected in zip(block.visit(w), want):
+        np.testing.assert_allclose(found, expected, rtol=1e-12)
