@@ -9,6 +9,7 @@ from notecode.operators import baseline as B
 from notecode.operators import blocks
 from notecode.operators import embedding as E
 from notecode.operators import ensembling as N
+from notecode.operators import evaluation as V
 from notecode.operators import indexing as I
 from notecode.operators import linear as L
 from notecode.operators import matrix as M
@@ -276,3 +277,19 @@ def test_rows_of_a_block_in_turn_sum_like_all_of_them(monkeypatch, at_once):
     want = (block.dense.T @ (2 * block.cost * hinge * block.y), (block.cost * hinge**2).sum(0), (2 * block.cost * hinge - block.cost * hinge**2).sum(0))
     for found, expected in zip(block.visit(w), want):
         np.testing.assert_allclose(found, expected, rtol=1e-12)
+
+
+def test_precision_stays_where_the_rows_are(spark, bought):
+    m = V.precision_recall_at_k(views.y(spark, bought), views.pred(spark, bought), views.instances(spark, bought), 3)
+    assert not [x for x in plan(m).splitlines() if "Exchange hashpartitioning(row_id#" in x and "label_id#" in x]
+    assert len(m.collect()) == 3
+
+
+def test_precision_with_repeats_and_nulls(spark):
+    kind = "row_id long, label_id long"
+    truth = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, None), (2, 5), (None, 1), (None, None)], kind)
+    pred = spark.createDataFrame([(1, 2, 0.9), (1, 2, 0.8), (1, None, 0.7), (2, 4, 0.5), (2, 5, 0.4), (3, 1, 1.0), (None, 1, 2.0), (None, None, 1.0)], kind + ", score double")
+    found = V.precision_recall_at_k(truth, pred, spark.createDataFrame([(1,), (2,), (3,)], "row_id long"), 3).orderBy("k").collect()
+    # hits: row 1 at ranks 1 and 2 (three true labels, one of them null), row 2 at rank 2 (one true label)
+    assert [round(r["precision"], 9) for r in found] == [round(h / 3 / k, 9) for k, h in ((1, 1), (2, 3), (3, 3))]
+    assert [round(r["recall"], 9) for r in found] == [round(s / 2, 9) for s in (1 / 3, 5 / 3, 5 / 3)]
