@@ -178,23 +178,24 @@ def _preds(spark, d):
     return {t: v.pred(spark, d, t) for t in "abc"}
 
 
-def _ranked(df):
-    return R.topk_per_row(rounded(df, "score"))
+def _ranked(spark, d, df):
+    # counting the rows of an ensemble would compute all of its predictions once more
+    return R.topk_per_row(rounded(df, "score"), largest=v.most_pairs(spark, d))
 
 
 @query(_ranked_sql("average"))
 def ensemble_average(spark, d):
-    return _ranked(N.ensemble_average(*_preds(spark, d).values()))
+    return _ranked(spark, d, N.ensemble_average(*_preds(spark, d).values()))
 
 
 @query(_ranked_sql("rank_average"))
 def ensemble_rank_average(spark, d):
-    return _ranked(N.ensemble_rank_average(*_preds(spark, d).values()))
+    return _ranked(spark, d, N.ensemble_rank_average(*_preds(spark, d).values()))
 
 
 @query(_ranked_sql("round_robin"))
 def ensemble_round_robin(spark, d):
-    return _ranked(N.ensemble_round_robin(*_preds(spark, d).values()))
+    return _ranked(spark, d, N.ensemble_round_robin(*_preds(spark, d).values()))
 
 
 def _rounded_relation(name: str) -> str:

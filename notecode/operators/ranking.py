@@ -11,10 +11,18 @@ from notecode.operators.skew import rank_in_groups, top_in_groups
 
 
 def topk_per_row(
-    pred: DataFrame, k: int | None = None, row: str = "row_id", col: str = "label_id", score: str = "score"
+    pred: DataFrame,
+    k: int | None = None,
+    row: str = "row_id",
+    col: str = "label_id",
+    score: str = "score",
+    largest: int | None = None,
 ) -> DataFrame:
-    """The ``k`` best entries of each row, with ``rank`` from 1; ``None`` keeps all, 0 keeps none."""
-    return top_in_groups(pred, [row], [F.desc(score), F.col(col)], k)
+    """The ``k`` best entries of each row, with ``rank`` from 1; ``None`` keeps all, 0 keeps none.
+
+    ``largest`` is the longest row, or more, if it is known: it is not counted then.
+    """
+    return top_in_groups(pred, [row], [F.desc(score), F.col(col)], k, largest=largest)
 
 
 def topk_per_column(pred: DataFrame, k: int | None = None, row: str = "row_id", col: str = "label_id") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalog import labels, matrices, views
+from catalog import labels, matrices, rankings, views
 from notecode.operators import baseline as B
 from notecode.operators import blocks
 from notecode.operators import embedding as E
@@ -13,6 +13,7 @@ from notecode.operators import evaluation as V
 from notecode.operators import indexing as I
 from notecode.operators import linear as L
 from notecode.operators import matrix as M
+from notecode.operators import skew
 from notecode.operators.decomposition import normal_row, random_normal
 from notecode.session import checkpointed, materialised
 
@@ -293,3 +294,29 @@ def test_precision_with_repeats_and_nulls(spark):
     # hits: row 1 at ranks 1 and 2 (three true labels, one of them null), row 2 at rank 2 (one true label)
     assert [round(r["precision"], 9) for r in found] == [round(h / 3 / k, 9) for k, h in ((1, 1), (2, 3), (3, 3))]
     assert [round(r["recall"], 9) for r in found] == [round(s / 2, 9) for s in (1 / 3, 5 / 3, 5 / 3)]
+
+
+def test_ranked_ensembles_are_not_counted(spark, bought, monkeypatch):
+    longest = views.pairs(spark, bought).groupBy("row_id").count().agg(F.max("count")).first()[0]
+    assert longest <= views.most_pairs(spark, bought)
+    asked, rank = [], skew.rank_in_groups
+    monkeypatch.setattr(skew, "rank_in_groups", lambda *a, **k: asked.append(k.get("largest")) or rank(*a, **k))
+    found = rankings.ensemble_average(spark, bought)
+    assert asked == [views.most_pairs(spark, bought)]
+    assert found.count() == views.pairs(spark, bought).count()
+    assert found.groupBy("row_id").agg(F.max("rank").alias("a"), F.count("*").alias("b")).filter("a <> b").isEmpty()
+
+
+def test_empty_orders_have_an_empty_ensemble(spark, bought, tmp_path):
+    for name in ("orders", "lineitem", "part", "customer"):
+        df = spark.read.parquet(f"{bought}/{name}.parquet")
+        (df.limit(0) if name == "lineitem" else df).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert rankings.ensemble_average(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_scores_of_pairs_are_rounded_quotients(spark):
+    # quotients that end in a five at the seventh place among them
+    hashes = [j << 25 for j in range(128)] + [(1 << 32) - 1, 1, 2147, 2148] + np.random.default_rng(2).integers(0, 1 << 32, 20000).tolist()
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    quotient = F.round(F.col("h") / F.lit(float(1 << 32)), 6)
+    assert df.filter(~views.six_places(F.col("h")).eqNullSafe(quotient)).isEmpty()
