@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import labels, matrices, rankings, views
+from notecode.functions.scores import post_processor
 from notecode.operators import baseline as B
 from notecode.operators import blocks
 from notecode.operators import embedding as E
@@ -13,6 +14,7 @@ from notecode.operators import evaluation as V
 from notecode.operators import indexing as I
 from notecode.operators import linear as L
 from notecode.operators import matrix as M
+from notecode.operators import ranking as R
 from notecode.operators import skew
 from notecode.operators.decomposition import normal_row, random_normal
 from notecode.session import checkpointed, materialised
@@ -320,3 +322,36 @@ def test_scores_of_pairs_are_rounded_quotients(spark):
     df = spark.createDataFrame([(h,) for h in hashes], "h long")
     quotient = F.round(F.col("h") / F.lit(float(1 << 32)), 6)
     assert df.filter(~views.six_places(F.col("h")).eqNullSafe(quotient)).isEmpty()
+
+
+def test_all_scores_shuffle_no_cell(spark, monkeypatch):
+    x = spark.createDataFrame([(1, "p", 2.0), (1, "p", 1.0), (1, None, 5.0), (2, "q", None), (2, "r", -1.0), (None, "p", 4.0)], "row_id long, col_id string, val double")
+    w = spark.createDataFrame([(10, "p", 3.0), (10, None, 7.0), (11, "r", 4.0), (11, "s", 0.5), (None, "p", 1.0)], "label_id long, col_id string, val double")
+    instances = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "row_id long")
+    labels = spark.createDataFrame([(10,), (11,), (11,), (12,), (None,)], "label_id long")
+    want = sorted([(r, k, {(1, 10): 9.0, (2, 11): -4.0}.get((r, k), 0.0)) for r in (1, 2, 2, 3, None) for k in (10, 11, 12, None)], key=repr)
+    for cells_, least in ((10**6, 10**6), (1, 1)):  # with 1, every label and every instance is a block of its own
+        monkeypatch.setattr(M, "GRID_CELLS", cells_)
+        monkeypatch.setattr(M, "GRID_LEAST", least)
+        monkeypatch.setattr(M, "GRID_ROWS", cells_)
+        found = M.score_all(x, w, instances, labels)
+        assert sorted(found.collect(), key=repr) == want
+        assert not [line for line in plan(found).splitlines() if "Exchange" in line and "row_id#" in line and "label_id#" in line]
+
+
+@pytest.mark.parametrize("post, digits", [(True, None), ("l1-hinge", 1), ("sigmoid", 6), ("log-l2-hinge", None), (None, None)])
+def test_beams_take_only_the_best_cells_of_a_block(spark, monkeypatch, post, digits):
+    rng = np.random.default_rng(5)
+    x = spark.createDataFrame([(int(i), f"c{j}", float(rng.integers(-3, 4))) for i in range(12) for j in rng.choice(9, 4, False)], "row_id long, col_id string, val double")
+    w = spark.createDataFrame([(int(k), f"c{j}", float(rng.integers(-2, 3))) for k in range(30) for j in rng.choice(9, 5, False)], "label_id long, col_id string, val double")
+    instances, labels = spark.range(14).withColumnRenamed("id", "row_id"), spark.range(33).withColumnRenamed("id", "label_id")
+    monkeypatch.setattr(M, "GRID_CELLS", 60)
+    monkeypatch.setattr(M, "GRID_LEAST", 50)
+    model = L.Model(w.select(F.lit(0).alias("level"), "*"), w.limit(0).select(F.lit(0).alias("level"), "label_id", F.lit(0).alias("code")), 1, 0.0, None, labels)
+    left = M.score_all(x, w, instances, labels, 4, post_processor(post).values)
+    assert left.count() < 14 * 33
+    score = post_processor(post).transform(F.col("score"))
+    whole = M.score_all(x, w, instances, labels).withColumn("score", score if digits is None else F.round(score, digits))
+    want = [(r["row_id"], r["label_id"], r["rank"]) for r in R.topk_per_row(whole, 4).collect()]
+    found = L.predict_beam(x, model, instances, k=4, post=post, digits=digits)
+    assert sorted((r["row_id"], r["label_id"], r["rank"]) for r in found.collect()) == sorted(want)
