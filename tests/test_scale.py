@@ -355,3 +355,15 @@ def test_beams_take_only_the_best_cells_of_a_block(spark, monkeypatch, post, dig
     want = [(r["row_id"], r["label_id"], r["rank"]) for r in R.topk_per_row(whole, 4).collect()]
     found = L.predict_beam(x, model, instances, k=4, post=post, digits=digits)
     assert sorted((r["row_id"], r["label_id"], r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_best_labels_send_every_cell_to_one_block(spark, monkeypatch):
+    z = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.5), (1, None, 9.0), (2, 1, -1.0), (None, 0, 1.0), (3, 7, 1.0)], "row_id long, code long, val double")
+    m = spark.createDataFrame([(0, 5, 0.2), (0, 6, 0.4), (1, 6, 0.2), (1, 7, 0.5), (1, None, 0.5), (2, 8, 1.0), (None, 9, 1.0)], "code long, label_id long, val double")
+    want = [(1, 6, 0.5, 1), (1, 7, 0.25, 2), (1, None, 0.25, 3), (2, 6, -0.2, 1), (2, 7, -0.5, 2), (2, None, -0.5, 3)]
+    for cells_, dense in ((1, 10**6), (10**6, 10**6), (10**6, 0)):
+        monkeypatch.setattr(M, "MAX_CELLS", dense)
+        found = M.top_products(z, m, 3, 6, cells_)
+        assert sorted(found.collect(), key=repr) == sorted(want, key=repr)
+        # the cells of m are dealt once: no list of them is made for a group of instances
+        assert "collect_list" not in plan(found) and "label_id#" in plan(found)
