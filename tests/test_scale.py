@@ -367,3 +367,34 @@ def test_best_labels_send_every_cell_to_one_block(spark, monkeypatch):
         assert sorted(found.collect(), key=repr) == sorted(want, key=repr)
         # the cells of m are dealt once: no list of them is made for a group of instances
         assert "collect_list" not in plan(found) and "label_id#" in plan(found)
+
+
+def test_training_blocks_are_shuffled_with_numbered_columns(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = spark.createDataFrame([(int(i), f"column {j}", float(rng.normal())) for i in range(40) for j in rng.choice(9, 5, False)], "row_id long, col_id string, val double")
+    y = spark.createDataFrame([(int(i), int(i) % 4) for i in range(40)], "row_id long, label_id long")
+    c = spark.createDataFrame([(k, k // 2) for k in range(4)], "label_id long, code long")
+    z, seen, dealt = L.active_clusters(y, c), [], blocks._dealt
+    monkeypatch.setattr(blocks, "_dealt", lambda df, n: seen.append(df.schema) or dealt(df, n))
+    stored = L.training_blocks(x, y, c, z)
+    assert seen[0]["col_ids"].dataType.simpleString() == "array<smallint>"
+    assert {n for r in stored.collect() for n in r["col_ids"]} == {f"column {j}" for j in range(9)}
+    entries = sorted((r["col_ids"][at], v) for r in stored.collect() for at, v in zip(r["cols"], r["vals"]))
+    assert entries == sorted((r["col_id"], r["val"]) for r in x.collect())
+    monkeypatch.setattr(blocks, "SHORT", 2)  # too many names for two bytes: they stay as they are
+    same = L.training_blocks(x, y, c, z)
+    assert sorted(map(repr, ((r["code"], r["col_ids"], r["true_at"]) for r in same.collect()))) == sorted(map(repr, ((r["code"], r["col_ids"], r["true_at"]) for r in stored.collect())))
+
+
+def test_weights_under_the_threshold_are_not_stored(spark, monkeypatch):
+    x = spark.createDataFrame([(i, f"c{j}", float(i % 2 + j * i / 50) if j < 2 else 0.01 * (i % 3 - i % 2)) for i in range(20) for j in range(4)], "row_id long, col_id string, val double")
+    y = spark.createDataFrame([(i, i % 2) for i in range(20)], "row_id long, label_id long")
+    c = spark.createDataFrame([(0, 0), (1, 0)], "label_id long, code long")
+    held, stored = [], blocks.materialised
+    monkeypatch.setattr(blocks, "materialised", lambda df, name="table": held.append((name, stored(df, name))) or held[-1][1])
+    whole = {(r["label_id"], r["col_id"]): r["val"] for r in L.train_linear(x, y, c, L.active_clusters(y, c), L.Fit(threshold=0.0)).collect()}
+    held.clear()
+    found = {(r["label_id"], r["col_id"]): r["val"] for r in L.train_linear(x, y, c, L.active_clusters(y, c), L.Fit(threshold=0.1)).collect()}
+    assert found == {k: w for k, w in whole.items() if abs(w) >= 0.1} and len(found) < len(whole)
+    alone = next(df for name, df in held if name == "alone")
+    assert all(abs(w) >= 0.1 for r in alone.collect() for w in r["d_val"])
