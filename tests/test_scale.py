@@ -387,7 +387,7 @@ def test_training_blocks_are_shuffled_with_numbered_columns(spark, monkeypatch):
 
 
 def test_weights_under_the_threshold_are_not_stored(spark, monkeypatch):
-    x = spark.createDataFrame([(i, f"c{j}", float(i % 2 + j * i / 50) if j < 2 else 0.01 * (i % 3 - i % 2)) for i in range(20) for j in range(4)], "row_id long, col_id string, val double")
+    x = spark.createDataFrame([(i, f"c{j}", float(i % 2 + j * i / 50) if j < 2 else 0.0001 * (i % 3 - i % 2)) for i in range(20) for j in range(4)], "row_id long, col_id string, val double")
     y = spark.createDataFrame([(i, i % 2) for i in range(20)], "row_id long, label_id long")
     c = spark.createDataFrame([(0, 0), (1, 0)], "label_id long, code long")
     held, stored = [], blocks.materialised
@@ -398,3 +398,24 @@ def test_weights_under_the_threshold_are_not_stored(spark, monkeypatch):
     assert found == {k: w for k, w in whole.items() if abs(w) >= 0.1} and len(found) < len(whole)
     alone = next(df for name, df in held if name == "alone")
     assert all(abs(w) >= 0.1 for r in alone.collect() for w in r["d_val"])
+
+
+@pytest.mark.parametrize("solver", ["L2R_L2LOSS_SVC_DUAL", "L2R_L1LOSS_SVC_DUAL", "L1R_L2LOSS_SVC", "L2R_LR_DUAL"])
+def test_objectives_shuffle_no_scored_pair(spark, monkeypatch, solver):
+    rng = np.random.default_rng(6)
+    x = spark.createDataFrame([(int(i), f"c{j}", float(rng.normal())) for i in range(9) for j in rng.choice(7, 4, False)] + [(1, None, 5.0), (2, "c0", None), (None, "c1", 1.0)], "row_id long, col_id string, val double")
+    w = spark.createDataFrame([(int(k), f"c{j}", float(rng.normal())) for k in range(5) for j in rng.choice(9, 5, False)] + [(0, "c1", 1.5), (None, "c1", 1.0)], "label_id long, col_id string, val double")
+    pairs = [(k, i, 1.0 if (i + k) % 3 else -1.0) for i in range(11) for k in range(7)] + [(1, 1, -1.0), (1, None, 1.0), (None, 1, 1.0)]
+    rows = spark.createDataFrame(pairs, "label_id long, row_id long, target double")
+    fit = L.Fit(solver, c_pos=2.0)
+    asked, score = [], L.score_pairs
+    monkeypatch.setattr(L, "score_pairs", lambda *a: asked.append(1) or score(*a))
+    monkeypatch.setattr(L, "WHOLE_ENTRIES", 0)
+    want = cells(L.objective(x, rows, w, fit), "label_id")
+    assert asked == [1] and len(want) == 7
+    monkeypatch.setattr(L, "WHOLE_ENTRIES", 10**6)
+    for pairs_, dense in ((10**6, 10**6), (4, 10**6), (10**6, 0)):  # with 4, a label is dealt to several groups
+        monkeypatch.setattr(L, "LOSS_PAIRS", pairs_)
+        monkeypatch.setattr(L, "MAX_CELLS", dense)
+        assert cells(L.objective(x, rows, w, fit), "label_id") == want
+    assert asked == [1]
